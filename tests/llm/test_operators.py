@@ -1,0 +1,364 @@
+"""Each operator against a brute-force version, on generated rows and on the smallest tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pandas as pd
+import pytest
+import xxhash
+
+from assay.llm import imatch, langid, licenses, media, mixing, packing, pii, queries, sharding, simhash, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, *[None] * (5 - len(r))) for r in rows], DOCS)
+
+
+def odd_rows():
+    """Nulls in any column, empty and long texts, ties and repeated rows."""
+    long = " ".join(f"word{i % 977}" for i in range(30000))
+    return [(1, "a b c d", "en", "s", 7), (2, None, None, None, None), (3, "", "en", "s", 0), (4, long, "en", "s", len(long)), (4, long, "en", "s", len(long)), (None, "a b c d", "en", "t", 7), (5, "   \t\n", "en", None, 5), (6, "x", None, "s", 1), (7, "é" * 50 + " 😀 z", "fr", "s", 54), (6, "other text of the same id", "en", "s", 25)]
+
+
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_take_odd_and_empty_tables(spark, tmp_path, name):
+    for rows in (odd_rows(), []):
+        at = str(tmp_path / str(len(rows)))
+        df = frame(spark, rows)
+        for extra in ("fingerprint", "shard", "copy", "base", "fp", "rid", "term", "key", "path"):
+            df = df.selectExpr("*", f"'clash' AS {extra}")
+        df.write.parquet(f"{at}/documents.parquet")
+        pages = spark.createDataFrame([(i, None if i == 2 else f"http://x/{i}\n", t) for i, (_, t, *_) in enumerate(rows)] + ([(None, None, None), (9, "u", "y" * 2000), (9, "u", "y" * 2000), (8, "u", "y" * 2000)] if rows else []), "page_id long, url string, html string")
+        pages.write.parquet(f"{at}/pages.parquet")
+        found = queries.QUERIES[name](spark, at).collect()
+        if not rows:
+            assert found == []
+        elif name not in ("op1_mixing", "op8_packing"):
+            assert len(found) == (len(rows) if name != "op5_warc" else len(rows) + 4)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_gives_the_same_rows(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = c.execute(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda x: "" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(got.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+# mixing
+
+
+def test_mixing_meets_weights_and_repeats_itself(spark):
+    df = frame(spark, [(i, "word " * 20, "en", "big" if i % 10 else "small", 100) for i in range(4000)])
+    a = mixing.mix(df, {"big": 1.0, "small": 1.0}).select("doc_id", "source", "copy", "shuffle_key").collect()
+    assert sorted(a) == sorted(mixing.mix(df.repartition(7), {"big": 1.0, "small": 1.0}).select("doc_id", "source", "copy", "shuffle_key").collect())
+    n = Counter(r.source for r in a)
+    assert abs(n["big"] - 2000) < 200 and abs(n["small"] - 2000) < 200
+    assert [r.shuffle_key for r in a] == sorted(r.shuffle_key for r in a)  # a total order
+    assert {r.source for r in mixing.mix(df, {"small": 1.0}).collect()} == {"small"}
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    rng = random.Random(7)
+    parts = ["a@b.co", "x_y@q-r.s.t", "@", ".", "1.2.3.4", "256.1.1.1", "001.02.255.0", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "+1", " ", "-", "é", "😀", "_", "%", "12", "9", "a", "\n", ")", "(", "a@b.co_m@n.op", "1.2.3.4.5.6.7.8.9"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["9" * 50000, "a" * 50000, "a." * 20000 + "@b.c", "1." * 20000, "+1" + "-" * 40000, "a@" + "b." * 20000 + "c", "x@y.zz " * 5000]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, enumerate(texts)), keep=["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        assert [tuple(x) for x in got[i].base] == plain_spans(text), text[:80]
+
+
+def test_contexts_find_unseen_identifiers_and_leave_others(spark):
+    rows = [(i, f"some words here my phone is +1 555 010 {1000 + i} thanks a lot") for i in range(30)]
+    rows += [(100, "also my phone is 0664 123 4567 thanks friend"), (101, "we sold 0664 123 4567 units of it"), (102, "my phone is broken thanks"), (103, "version 2.0 of 12 apples")]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, rows), keep=["doc_id"]).collect()}
+    assert [tuple(x) for x in got[100].more] == [("phone", 17, 30)]
+    assert not got[102].more and not got[103].more and all(not got[i].more for i in range(30))
+    clean = {r.doc_id: r for r in pii.redact(frame(spark, rows)).collect()}
+    assert clean[100].text == "also my phone is [PHONE] thanks friend" and clean[100].n_chars == len(clean[100].text)
+    assert clean[0].text == "some words here my phone is [PHONE] thanks a lot" and clean[103].text == rows[-1][1]
+
+
+# near duplicates
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(fps))]
+
+
+def test_simhash_equals_brute_force(spark, sf):
+    rows = documents(spark, sf).select("doc_id", "text").orderBy("doc_id").collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    roots = plain_components(fps)
+    got = {r.doc_id: r for r in simhash.near_duplicates(documents(spark, sf)).collect()}
+    assert [got[r.doc_id].fingerprint for r in rows] == [f"{f:016x}" for f in fps]
+    assert [got[r.doc_id].component_id for r in rows] == [rows[k].doc_id for k in roots]
+
+
+@pytest.mark.parametrize("crowd", [3, 64])
+def test_links_connect_what_pairs_would(spark, crowd):
+    from assay.llm.components import connected_components
+
+    rng = random.Random(3)
+    fps = []
+    for _ in range(12):  # families around a centre, and chains of single steps
+        f = rng.getrandbits(64)
+        fps += [f ^ 1 << rng.randrange(12) for _ in range(6)] + [f]
+        for _ in range(10):
+            fps.append(fps[-1] ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    fps = sorted({*fps, *(rng.getrandbits(64) for _ in range(60))}, key=lambda f: f - (f >> 63 << 64))
+    signed = [f - (f >> 63 << 64) for f in fps]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowd)
+    root = {r.a: r.b for r in connected_components(links).collect()}
+    assert [root.get(f, f) for f in signed] == [signed[k] for k in plain_components(fps)]
+
+
+def test_keep_one_keeps_one_of_each_group(spark):
+    rows = [(5, "a b c d e"), (2, "a b c d e"), (9, "q r s t u v"), (9, "q r s t u v"), (None, "z z z"), (11, "something else altogether")]
+    assert sorted((r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()), key=str) == [11, 2, 9, None]
+
+
+# media
+
+
+def test_media_round_trip_and_carving(spark, sf):
+    rows = {r.doc_id: r.text for r in documents(spark, sf).collect()}
+    for r in media.op4_media(spark, sf).collect():
+        data = (rows[r.doc_id] or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_type in (media.PNG, media.WAV, media.BMP) and r.declared != r.media_type
+    payload = media.payload_of("some text")[0]
+    files = {k: media.store(payload, k) for k in (media.PNG, media.WAV, media.BMP)}
+    blob = b"junk BM RIFF" + files[media.PNG] + b"x" + files[media.WAV] + files[media.BMP] + files[media.PNG][:-5]
+    found = media.find_media(blob)
+    assert [(k, n) for k, _, n in found] == [(k, len(files[k])) for k in (media.PNG, media.WAV, media.BMP)]
+    assert all(blob[at : at + n] == files[k] and media.load(blob[at : at + n], k) == payload for k, at, n in found)
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(40)
+    pages = pages.unionByName(pages.selectExpr("page_id + 1000 AS page_id", "url", "html")).unionByName(spark.createDataFrame([(5000, "u", "short"), (5001, "u", "short"), (5002, None, None)], "page_id long, url string, html string"))
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    same = defaultdict(list)
+    for page, data in rows:
+        same[data].append(page)
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert len(got) == len(rows)
+    for page, data in rows:
+        r, kept = got[page], max(same[data]) if len(data) >= 1000 else page
+        assert (r.payload_bytes, r.payload_digest, r.verified) == (len(data), hashlib.sha1(data).hexdigest(), True)
+        assert (r.record_type, r.refers_to) == (("response", None) if kept == page else ("revisit", kept))
+        assert r.html == (data if kept == page else None)
+    body = warc.member(warc.record(1, "u", b"x" * 5000, hashlib.sha1(b"x" * 5000).hexdigest(), None))
+    assert not next(warc.records(warc.member(warc.record(1, "u", b"x", "0" * 40, None))))[6]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(body[:-9]))
+
+
+# fingerprints
+
+
+def plain_imatch(texts, rare, common):
+    cut = lambda t: {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower()) if w}
+    df = Counter(w for t in texts for w in cut(t))
+    lexicon = {w for w, n in df.items() if max(2, rare * len(texts)) <= n <= common * len(texts)}
+    h = lambda s, seed: xxhash.xxh64_intdigest(s.encode(), seed)
+    return cut, lexicon, h
+
+
+def test_imatch_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(120)]
+    texts[7] = texts[3]
+    got = {r.doc_id: r for r in imatch.fingerprints(frame(spark, enumerate(texts)), rare=0.02, common=0.5).collect()}
+    cut, lexicon, _ = plain_imatch(texts, 0.02, 0.5)
+    slots = {r.term: r.slot for r in imatch.lexicon(frame(spark, enumerate(texts)).select("text"), 0.02, 0.5).collect() if r.term}
+    assert set(slots) <= lexicon and len(slots) > len(lexicon) / 4
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    subsets = lambda t: {s: frozenset(w for w in cut(t) if slots.get(w) == s) for s in {slots[w] for w in cut(t) if w in slots}}
+
+    def like(a, b):
+        x, y = subsets(a), subsets(b)
+        return 1.0 if x == y and (x or a == b) else sum(x.get(s) == y.get(s) for s in {*x, *y}) / max(1, len({*x, *y}))
+
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert r.near_edited == pytest.approx(like(t, edited[i])) and r.near_next == pytest.approx(like(t, texts[(i + 1) % len(texts)]))
+    assert got[3].fingerprint == got[7].fingerprint
+
+
+# language
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    langs = {r.doc_id: r.lang for r in documents(spark, sf).collect()}
+    rows = langid.op7_language_id(spark, sf).collect()
+    assert {r.doc_id for r in rows if r.held_out} == {i for i in langs if zlib.crc32(str(i).encode()) % 4 == 2}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert not any(r.rejected for r in rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_kneser_ney_is_a_distribution_and_unknown_text_is_rejected(spark):
+    rng = random.Random(1)
+    a = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(40)) for _ in range(30)]
+    b = [" ".join(rng.choice(["und", "der", "hund", "lief", "weg"]) for _ in range(40)) for _ in range(30)]
+    model = langid.Identifier({"a": a, "b": b})
+    kn = model.models[0]
+    every = sorted({c for t in a for c in t})
+    for context in ("the", " ca", "zzz"):
+        total = 0.0
+        for c in every:
+            codes = langid.code_points(context[-3:] + c)
+            hashes = langid._grams(codes, 4)
+            grams = [hashes[0], *(h[3:] for h in hashes[1:])]
+            contexts = [grams[0], grams[0], *(h[2:3] for h in hashes[1:-1])]
+            total += kn.probability(grams, contexts)[0]
+        assert 0.85 < total <= 1.0001  # the rest is kept for unseen letters
+    got = model.identify(["the cat sat", "der hund lief weg", None, "12 !", "ΩΨ ΔΣ" * 50, "on"])
+    assert [g[0] for g in got[:4]] == ["a", "b", "und", "und"] and [g[3] for g in got] == [False, False, True, True, True, False]
+    long = " ".join(a) * 400  # more than one slice
+    assert model.identify([long])[0][0] == "a"
+
+
+# packing
+
+
+def test_packing_is_exact_and_tight(spark, sf):
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(packing.default_vocabulary())
+    reader.encode_special_tokens = True
+    ids = {r.doc_id: [*reader.encode(r.text or "", add_special_tokens=False).ids, 1] for r in documents(spark, sf).collect()}
+    rows = packing.op8_packing(spark, sf).collect()
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) == r.ids_crc32
+    covered, filled = Counter(), defaultdict(list)
+    for r in rows:
+        covered[r.doc_id] += r.length
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert covered == {d: len(x) for d, x in ids.items()}
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(filled) <= -(-sum(covered.values()) // 2048) + 2
+
+
+def test_encoder_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    reader, ours = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    reader.encode_special_tokens = True
+    for text in ["", "<|endoftext|> a", "  \n\n  x  ", "naïve 😀 it's 123 don't", "  　a", "a" * 3000, "\x00\x1f\x7f", " " * 5000 + "x", "漢字かな混じり文", "1 2  3\t4"]:
+        assert ours.encode(text) == reader.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_equals_a_scan():
+    rng = random.Random(2)
+    lengths = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)
+    bins, offsets = packing.best_fit(lengths, 64)
+    room: list[int] = []
+    for n, b, o in zip(lengths, bins, offsets, strict=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            assert room[b] == min(fits)
+        else:
+            assert b == len(room)
+            room.append(64)
+        assert o == 64 - room[b]
+        room[b] -= n
+
+
+# licences
+
+
+def test_licenses_are_found_and_inherited(spark):
+    rows = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x", "code"), ("a/y", "code"), ("a/b/z", "words\nLicensed under the Apache License, Version 2.0.\n" + "other words " * 50), ("a/b/w", "a license to kill is not granted by anything here"), (None, "Released under the MIT License."), ("top", None)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.kind, r.license, r.line, r.from_dir) for r in licenses.scan_licenses(df, df["path"]).collect()}
+    assert got == {0: ("file", "MIT", 0, None), 1: ("inherited", "MIT", None, "a/b"), 2: (None, None, None, None), 3: ("header", "Apache-2.0", 1, None), 4: ("inherited", "MIT", None, "a/b"), 5: ("file", "MIT", 0, None), 6: (None, None, None, None)}
+
+
+# shards
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_shards_are_even_and_keep_groups_together(spark, hot):
+    rows = [(i, f"text {i // 3 if i < 600 else i}") for i in range(2013)] + [(5000 + i, "hot") for i in range(hot)]
+    got = sharding.balanced_shards(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    places = defaultdict(list)
+    for r in got:
+        places[r.shard].append(r.slot)
+    assert set(places) == set(range(40)) and all(sorted(x) == list(range(len(x))) for x in places.values())
+    sizes = [len(x) for x in places.values()]
+    assert max(sizes) - min(sizes) <= 1
+    text = dict(rows)
+    assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
+    where = defaultdict(list)
+    for r in got:
+        where[text[r.doc_id]].append(r.shard)
+    whole = [len(set(x)) == 1 for t, x in where.items() if len(x) > 1 and t != "hot"]
+    assert sum(whole) > 0.8 * len(whole)
+    if hot:  # 700 rows fill more than ten shards; hash placement would use all forty
+        assert len(set(where["hot"])) <= 32
