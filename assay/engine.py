@@ -29,6 +29,8 @@ DESCRIPTIONS = {
 }
 _SET = re.compile(r"\s*set\s+assay\.(\w+)\s*=\s*(?:'([^']*)'|\"([^\"]*)\"|(\S*))\s*;?\s*", re.IGNORECASE)
 
+_EXPLAIN = re.compile(r"\s*explain\s+analyze\s+", re.IGNORECASE)
+
 
 class Result:
     """A planned query. It runs, and pays, each time its rows are asked for."""
@@ -51,7 +53,7 @@ class Result:
         return self.engine.collector.total(self.query)
 
     def sites(self) -> dict[str, dict[str, int]]:
-        """The same by function."""
+        """The same by place in the plan and function."""
         return self.engine.collector.sites(self.query)
 
     def explain_analyze(self) -> str:
@@ -90,8 +92,8 @@ class Engine:
     def _next(self) -> str:
         return f"{self._name}-{next(self._count)}"
 
-    def _function(self, name: str, query: str) -> Any:
-        return F.arrow_udf(arrow_function(name, self.provider, self._settings, query, self.collector.address), RETURNS[name])
+    def _function(self, name: str, query: str, site: str | None = None) -> Any:
+        return F.arrow_udf(arrow_function(name, self.provider, self._settings, query, self.collector.address, site), RETURNS[name])
 
     def _install(self, query: str) -> None:
         """Functions with the present settings: a query keeps those it was planned with."""
@@ -117,10 +119,13 @@ class Engine:
     # queries
 
     def sql(self, text: str) -> Result | None:
-        """Plan a query; SET of a setting of the engine takes effect at once and gives None."""
+        """Plan a query. SET of a setting of the engine takes effect at once and gives None; EXPLAIN ANALYZE runs its query."""
         if match := _SET.fullmatch(text):
             self.set(match[1], next((g for g in match.groups()[1:] if g is not None), ""))
             return None
+        if match := _EXPLAIN.match(text):
+            lines = self.sql(text[match.end() :]).explain_analyze().split("\n")
+            return self.query(self.spark.createDataFrame([(x,) for x in lines], "plan string"))
         query = self._next()
         self._install(query)
         return self._planned(self.spark.sql(text), query)
@@ -136,14 +141,14 @@ class Engine:
         return Result(self, query, plan, self._settings)
 
     def _twins(self, query: str) -> Any:
-        made: dict[str, Any] = {}
+        made: dict[tuple[str, str], Any] = {}
 
-        def twin(name: str, arguments: list) -> Any:
-            if name not in made:
-                function = self._function(name, query).asNondeterministic()
-                made[name] = getattr(function, "_unwrapped", function)._judf
+        def twin(name: str, arguments: list, place: str) -> Any:
+            if (name, place) not in made:
+                function = self._function(name, query, f"{place} {name}").asNondeterministic()
+                made[name, place] = getattr(function, "_unwrapped", function)._judf
             null = self.trees.exprs.Literal.create(None, self.spark._jvm.org.apache.spark.sql.types.DataType.fromDDL("string"))
-            return made[name].builder(self.trees.seq([null if a is None else a for a in arguments]))
+            return made[name, place].builder(self.trees.seq([null if a is None else a for a in arguments]))
 
         return twin
 

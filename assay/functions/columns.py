@@ -1,4 +1,4 @@
-"""SQL helpers over states: their canonical JSON, and its SHA-256."""
+"""SQL helpers: the canonical JSON of states and its SHA-256, and values out of JSON text by keys."""
 
 from __future__ import annotations
 
@@ -29,3 +29,17 @@ def register_helpers(spark: SparkSession) -> None:
     """``canonical_state(state)`` and ``state_fingerprint(state)``; NULL gives NULL, a state that can't be kept exactly ends the query."""
     spark.udf.register("canonical_state", F.arrow_udf(canonical_state, "string"))
     spark.udf.register("state_fingerprint", F.arrow_udf(state_fingerprint, "string"))
+
+
+def register_json_functions(spark: SparkSession) -> None:
+    """``json_get``, ``json_get_str``, ``json_get_float``, ``json_get_int`` and ``json_get_bool`` of a JSON text and one to four keys.
+
+    They are SQL functions over Spark's own ``get_json_object``. What is absent
+    or of another type gives NULL.
+    """
+    keys = ", ".join(["k1 STRING", *(f"k{i} STRING DEFAULT NULL" for i in range(2, 5))])
+    path = "concat('$', " + ", ".join(f"coalesce(concat('[\\'', k{i}, '\\']'), '')" for i in range(1, 5)) + ")"
+    for name, kind in (("json_get", "STRING"), ("json_get_str", "STRING"), ("json_get_float", "DOUBLE"), ("json_get_int", "BIGINT"), ("json_get_bool", "BOOLEAN")):
+        value = f"get_json_object(doc, {path})"
+        body = value if kind == "STRING" else f"try_cast({value} AS {kind})"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(doc STRING, {keys}) RETURNS {kind} RETURN {body}")

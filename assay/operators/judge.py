@@ -138,8 +138,8 @@ def shared_cache(task: str, turn: int, limit: int) -> Cache:
     return cache
 
 
-def arrow_function(function: str, provider: Provider, settings: Settings, query: str, address: tuple[str, int]) -> Callable:
-    """The Arrow function of one call site.
+def arrow_function(function: str, provider: Provider, settings: Settings, query: str, address: tuple[str, int], site: str | None = None) -> Callable:
+    """The Arrow function of one call site, whose counts are reported under ``site``.
 
     All sites of a plan node see the same batches in the same worker, one after
     the other, so sites at the same batch number share a cache; a new batch
@@ -160,7 +160,7 @@ def arrow_function(function: str, provider: Provider, settings: Settings, query:
             return judge.batch(state, _texts(first, n), _texts(criteria, n), _texts(model, n), cache, counts)
         finally:
             counts["elapsed_compute_nanos"] += time.monotonic_ns() - began
-            report(address, query, function, counts)
+            report(address, query, site or function, counts)
 
     if function == "ask":
 

@@ -225,10 +225,11 @@ def test_explain_analyze_and_sites(spark, make):
     server, engine = make()
     table(spark, 3)
     text = engine.sql("SELECT noul(body, 'x'), choice(body, 'y', '{\"a\":1}') FROM t WHERE tenant_id = 42").explain_analyze()
-    assert "Judge noul: demand_driven=false, requests=1" in text and "Judge choice" in text
+    assert "Judge project#1 noul: demand_driven=false, requests=1" in text and "Judge project#1 choice" in text
+    assert "requests=1" in engine.sql("EXPLAIN ANALYZE SELECT noul(body, 'x') FROM t WHERE tenant_id = 42").collect()[0].plan
     limited = engine.sql("SELECT noul(body, 'x') FROM t LIMIT 2")
     assert "demand_driven=true, requests=2" in limited.explain_analyze()
-    assert limited.sites()["noul"]["elapsed_compute_nanos"] > 0
+    assert limited.sites()["demand noul"]["elapsed_compute_nanos"] > 0
 
 
 def test_large_taxonomies(spark, make):
@@ -237,3 +238,58 @@ def test_large_taxonomies(spark, make):
     spark.createDataFrame([(f"record-{i % 16}", options) for i in range(64)], "body string, criteria string").coalesce(1).createOrReplaceTempView("wide")
     rows = engine.sql("SELECT choice(body, 'x', criteria) AS c FROM wide").collect()
     assert len(rows) == 64 and all(len(r.c.probabilities) == 1024 for r in rows) and server.requests == 16
+
+
+def test_counters_belong_to_their_place(spark, make):
+    server, engine = make()
+    spark.createDataFrame([(42, "reject-a"), (42, "record-b"), (42, "record-c"), (41, "d")], "tenant_id int, body string").coalesce(1).createOrReplaceTempView("t")
+    result = engine.sql("SELECT choice(body, 'y', '{\"a\":1}') FROM t WHERE tenant_id = 42 AND noul(body, 'x') > 0.8")
+    assert len(result.collect()) == 2
+    assert {k: v["requests"] for k, v in result.sites().items()} == {"filter#1 noul": 3, "project#2 choice": 2}
+
+
+def test_sorting_by_a_judgment_judges_once(spark, make):
+    server, engine = make()
+    table(spark)
+    rows = engine.sql("SELECT body, noul(body, 'x') AS p FROM t ORDER BY noul(body, 'x'), body").collect()
+    assert [r.p for r in rows] == [0.1] * 4 + [0.9] * 16 and server.requests == 20
+    server.reset()
+    assert len(engine.sql("SELECT body FROM t ORDER BY noul(body, 'x') DESC LIMIT 4").collect()) == 4 and server.requests == 20
+
+
+def test_json_functions_share_one_reply(spark, make):
+    from assay.functions.columns import register_json_functions
+
+    server, engine = make()
+    register_json_functions(spark)
+    q = """'{"a":{"type":"noul","instructions":"i"},"b":{"type":"choice","instructions":"i","criteria":{"x":1}}}'"""
+    rows = engine.sql(f"SELECT json_get_float(r, 'answers', 'a', 'noul') AS a, json_get_str(r, 'answers', 'b', 'choice') AS b, json_get_int(r, 'nothing') AS c FROM (SELECT ask('s', {q}) AS r)").collect()
+    assert [tuple(r) for r in rows] == [(0.9, "x", None)] and server.requests == 1
+
+
+def test_cancelling_stops_spending(spark, make):
+    import threading
+    import time
+
+    server, engine = make(delay=0.2)
+    table(spark, 400, 1, reject=lambda i: False)
+    result = engine.sql("SELECT noul(body, 'x') FROM t")
+    failed = []
+
+    def run():
+        spark.sparkContext.setJobGroup("cancelled", "x", True)
+        try:
+            result.collect()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    while server.requests < 3:
+        time.sleep(0.05)
+    spark.sparkContext.cancelJobGroup("cancelled")
+    thread.join()
+    time.sleep(5)  # Spark looks every other second, and lets a worker end for two
+    seen = server.requests
+    time.sleep(1)
+    assert failed and server.requests == seen < 60
