@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: what a lambda's body names from outside is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

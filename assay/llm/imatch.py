@@ -22,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import cut, documents, pick
+from assay.llm.common import cut, documents, let, pick
 
 RARE, COMMON, SLOTS, SUBSETS, BROADCAST = 0.002, 0.2, 128, 64, 1 << 20
 _BREAK = r"[\s\p{Punct}]+"
@@ -68,6 +68,10 @@ def _hashes(terms: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
 
+def _sorted_hashes(terms: str) -> Column:
+    return let(F.sort_array(terms), _hashes)
+
+
 def _written(hashes: Column, whole: Column) -> Column:
     digits = F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 4, "0")), "")
     return F.when(F.exists(hashes, lambda h: h > 0), digits).otherwise(F.concat(F.lit("text:"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
@@ -115,7 +119,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = both.select("k0", "k1", "rid", F.explode(rows).alias("x")).select("k0", "k1", "rid", "x.v", "x.term", "x.info")
     own = lambda v: F.collect_list(F.when(F.col("v") == v, F.struct("term", "slot")))
     found = flat.join(terms, "term").groupBy("k0", "k1", "rid").agg(F.first("info", ignorenulls=True).alias("info"), own(0).alias("a"), own(1).alias("b"))
-    found = found.select("k0", "k1", "info", _hashes(F.array_sort("a")).alias("a"), _hashes(F.array_sort("b")).alias("b"))
+    found = found.select("k0", "k1", "info", _sorted_hashes("a").alias("a"), _sorted_hashes("b").alias("b"))
     found = cut(found, "hashes")
 
     found = found.select("k0", "k1", "info.*", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("info.edited_whole")).alias("edited_fingerprint"))
