@@ -17,8 +17,6 @@ document; the terms of a document stay where its text is.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,24 +103,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = docs.select("k0", "k1", "text").join(before, ["k0", "k1"]).select(F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.substring(F.col("text"), F.lit(1), F.col("h")).alias("head"))
     if docs.count() > order.count():  # rows that repeat would each send their head
         heads = heads.groupBy("k0", "k1").agg(F.min("head").alias("head"))
-    both = docs.join(heads, ["k0", "k1"])
+    both = docs.join(heads, ["k0", "k1"]).withColumn("rid", F.monotonically_increasing_id())
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
-    both = both.withColumn("edited", edited).withColumn("rid", F.monotonically_increasing_id())
-
-    info = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("whole"), F.xxhash64("edited").alias("edited_whole"))
-    none = F.lit(None).cast("struct<doc_id:bigint,n_chars:bigint,edited_sha256:string,whole:bigint,edited_whole:bigint>")
-
-    def row(v: int, term: Column) -> Column:
-        return F.struct(F.lit(v).alias("v"), term.alias("term"), (info if v < 0 else none).alias("info"))
-
-    rows = F.concat(F.array(row(-1, F.lit(""))), *[F.transform(F.filter(_terms(F.col(c)), lambda t: t != ""), partial(row, v)) for v, c in enumerate(("text", "edited"))])
-    flat = both.select("k0", "k1", "rid", F.explode(rows).alias("x")).select("k0", "k1", "rid", "x.v", "x.term", "x.info")
-    own = lambda v: F.collect_list(F.when(F.col("v") == v, F.struct("term", "slot")))
-    found = flat.join(terms, "term").groupBy("k0", "k1", "rid").agg(F.first("info", ignorenulls=True).alias("info"), own(0).alias("a"), own(1).alias("b"))
-    found = found.select("k0", "k1", "info", _sorted_hashes("a").alias("a"), _sorted_hashes("b").alias("b"))
+    versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))
+    both = both.select("doc_id", "k0", "k1", "n_chars", "rid", F.explode(versions).alias("x"))
+    both = both.select("doc_id", "k0", "k1", "n_chars", "rid", "x.v", F.col("x.t").alias("t"))
+    both = both.withColumns({"sha256": F.when(F.col("v") == 1, F.sha2("t", 256)), "whole": F.xxhash64("t")})
+    # the empty term, in every document and in the lexicon, carries what isn't a term
+    flat = both.withColumn("term", F.explode(F.concat(F.array(F.lit("")), F.filter(_terms(F.col("t")), lambda t: t != ""))))
+    flat = flat.select("k0", "k1", "rid", "v", "term", F.when(F.col("term") == "", F.struct("doc_id", "n_chars", "sha256", "whole")).alias("info"))
+    of = lambda v, x: F.when(F.col("v") == v, x)
+    own = lambda v: F.collect_list(F.when((F.col("v") == v) & (F.col("slot") >= 0), F.struct("term", "slot")))
+    found = flat.join(terms, "term").groupBy("k0", "k1", "rid").agg(F.first(of(0, F.col("info")), ignorenulls=True).alias("info"), F.first(of(1, F.col("info")), ignorenulls=True).alias("edited"), own(0).alias("a"), own(1).alias("b"))
+    found = found.select("k0", "k1", "info", F.col("edited.sha256").alias("edited_sha256"), F.col("edited.whole").alias("edited_whole"), _sorted_hashes("a").alias("a"), _sorted_hashes("b").alias("b"))
     found = cut(found, "hashes")
 
-    found = found.select("k0", "k1", "info.*", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("info.edited_whole")).alias("edited_fingerprint"))
+    found = found.select("k0", "k1", "info.doc_id", "info.n_chars", "edited_sha256", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
     nexts = found.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("a").alias("c"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["n0", "n1"])
     out = found.join(order.drop("n_chars"), ["k0", "k1"]).join(nexts, ["n0", "n1"])
     near_edited = likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint"))
