@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm.common import documents
+from assay.llm.common import cut, documents
 
 # Notices as projects commonly write them.
 TEMPLATES = [
@@ -94,6 +94,7 @@ def scan_licenses(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
     first = F.max(F.when(F.col("line") >= 0, F.struct("score", (-F.col("line")).alias("back"), "license"))).alias("header")
     own = unique.groupBy("key").agg(first, F.max(F.when(F.col("line") < 0, F.struct("score", "license"))).alias("file"))
     own = own.select(F.col("key").alias("own_key"), F.coalesce("file.license", "header.license").alias("own"), F.coalesce("file.score", "header.score").alias("own_score"), F.when(F.col("file").isNotNull(), "file").otherwise("header").alias("own_kind"), (-F.col("header.back")).alias("line"), F.when(F.col("file").isNotNull() & (F.col("key.path") != ""), F.col("key.path")).alias("file_path"))
+    own = cut(own, "own")  # read twice below
     own_dir = F.regexp_replace("file_path", "/?[^/]*$", "")
     licensed = own.where("file_path is not null").groupBy(own_dir.alias("at")).agg(F.max_by(F.struct("own"), F.struct("own_score", "own", "file_path")).alias("x")).select("at", F.col("x.own").alias("given"))
 
