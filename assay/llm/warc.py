@@ -10,6 +10,7 @@ Content-Length, and checks digests; it holds one record at a time.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -74,29 +75,59 @@ def inflated(data: bytes, step: int = STEP) -> Iterator[bytes]:
 
 
 def headers(data: bytes) -> tuple[str, dict[str, str], int]:
-    """First line, headers by lower-case name, and where the block begins."""
-    end = data.index(b"\r\n\r\n")
-    first, *rest = data[:end].decode("utf-8").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}, end + 4
-
-
-def records(data: bytes) -> Iterator[tuple]:
-    """page, url, payload size and SHA-1, type, page referred to, whether digests agree, payload (None for a revisit)."""
+    """First line, headers by lower-case name (continued lines joined), and where the block begins."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        raise ValueError("a record or message has no end of its headers")
+    first, *rest = data[:end].decode("utf-8", "replace").split("\r\n")
+    out: dict[str, str] = {}
+    last = ""
+    for line in rest:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return first, out, end + 4
+
+
+def agrees(stated: str | None, data: bytes) -> bool | None:
+    """Whether ``algorithm:value`` (hexadecimal or base 32) is the digest of ``data``; None if it can't be told."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return None
+    digest = hashlib.new(kind.lower(), data).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
+def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes | None, bool]]:
+    """Headers, block, payload and whether no stated digest disagrees, for each record of any type.
+
+    The payload is what follows the HTTP headers, the whole block where there
+    are none, and None for a revisit. A member must hold one whole record.
+    """
     for content in inflated(data):
         version, head, at = headers(content)
         size = int(head["content-length"])
         if not version.startswith("WARC/") or content[at + size :] != b"\r\n\r\n":
             raise ValueError("a record isn't framed by its Content-Length")
         block = content[at : at + size]
-        _, http, begin = headers(block)
-        payload = block[begin:]
-        stated = head["warc-payload-digest"].removeprefix("sha1:")
-        good = head["warc-block-digest"] == f"sha1:{hashlib.sha1(block).hexdigest()}"
-        whole = head["warc-type"] == "response"
-        digest = hashlib.sha1(payload).hexdigest() if whole else stated
-        length = len(payload) if whole else int(http["content-length"])
-        good = good and digest == stated and length == int(http["content-length"])
-        yield _number(head["warc-record-id"]), head.get("warc-target-uri"), length, digest, head["warc-type"], _number(head.get("warc-refers-to")), good, payload if whole else None
+        http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+        payload = None if head["warc-type"] == "revisit" else block[headers(block)[2] :] if http else block
+        good = agrees(head.get("warc-block-digest"), block) is not False
+        if payload is not None:
+            good = good and agrees(head.get("warc-payload-digest"), payload) is not False
+        yield head, block, payload, good
+
+
+def records(data: bytes) -> Iterator[tuple]:
+    """Of a page archive: page, url, payload size and SHA-1, type, page referred to, whether all agrees, payload (None for a revisit)."""
+    for head, block, payload, good in read_records(data):
+        length = int(headers(block)[1]["content-length"])
+        digest = head["warc-payload-digest"].removeprefix("sha1:") if payload is None else hashlib.sha1(payload).hexdigest()
+        good = good and (payload is None or len(payload) == length)
+        yield _number(head["warc-record-id"]), head.get("warc-target-uri"), length if payload is None else len(payload), digest, head["warc-type"], _number(head.get("warc-refers-to")), good, payload
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, level: int = 6) -> DataFrame:

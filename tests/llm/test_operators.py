@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on generated rows and on the smallest tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -202,6 +203,10 @@ def test_warc_round_trip(spark, sf):
         assert (r.payload_bytes, r.payload_digest, r.verified) == (len(data), hashlib.sha1(data).hexdigest(), True)
         assert (r.record_type, r.refers_to) == (("response", None) if kept == page else ("revisit", kept))
         assert r.html == (data if kept == page else None)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nX-Long: a\r\n  b\r\nWARC-Block-Digest: sha1:VPWYVFJUXC2BIJAVGZLZAFBTXLPIQP2W\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    info = info.replace(b"VPWYVFJUXC2BIJAVGZLZAFBTXLPIQP2W", base64.b32encode(hashlib.sha1(b"hello").digest()))
+    (head, block, payload, good), *more = warc.read_records(warc.member(info) + warc.member(info.replace(b"hello", b"jello")))
+    assert head["x-long"] == "a b" and block == payload == b"hello" and good and not more[0][3]
     body = warc.member(warc.record(1, "u", b"x" * 5000, hashlib.sha1(b"x" * 5000).hexdigest(), None))
     assert not next(warc.records(warc.member(warc.record(1, "u", b"x", "0" * 40, None))))[6]
     with pytest.raises(ValueError, match="ends within"):
