@@ -101,6 +101,14 @@ _JUDGED: dict[str, tuple] = {
     "judge_semi_join": ("documents labels", "SELECT doc_id FROM documents LEFT SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id) WHERE noul(text, 'even') > 0.5", f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND {_EVEN.format('text')} > 0.5", {}),
     "judge_outer_cheap_filter": ("events", "SELECT event_id, p FROM (SELECT event_id, value, noul(event_type, 'even') AS p FROM events) WHERE p > 0.5 AND value > 30", f"SELECT event_id, CAST(0.9 AS DOUBLE) AS p FROM events WHERE {_EVEN.format('event_type')} > 0.5 AND value > 30", {}),
     "judge_paid_or": ("events", "SELECT event_id FROM events WHERE value > 50 OR noul(event_type, 'even') > 0.5", f"SELECT event_id FROM events WHERE value > 50 OR {_EVEN.format('event_type')} > 0.5", {}),
+    "judge_rollup": ("events", "SELECT event_type, p, count(*) AS n FROM (SELECT event_type, noul(event_type, 'even') AS p FROM events) GROUP BY ROLLUP (event_type, p)", f"SELECT event_type, p, count(*) AS n FROM (SELECT event_type, CAST({_EVEN.format('event_type')} AS DOUBLE) AS p FROM events) GROUP BY ROLLUP (event_type, p)", {}),
+    "judge_except": ("events", "SELECT user_id FROM events WHERE noul(event_type, 'even') > 0.5 EXCEPT SELECT user_id FROM events WHERE value > 90", f"SELECT user_id FROM events WHERE {_EVEN.format('event_type')} > 0.5 EXCEPT SELECT user_id FROM events WHERE value > 90", {}),
+    "judge_intersect": ("events", "SELECT user_id FROM events WHERE noul(event_type, 'even') > 0.5 INTERSECT SELECT user_id FROM events WHERE noul(event_type, 'even') < 0.5", f"SELECT user_id FROM events WHERE {_EVEN.format('event_type')} > 0.5 INTERSECT SELECT user_id FROM events WHERE {_EVEN.format('event_type')} < 0.5", {}),
+    "judge_anti_join": ("documents labels", "SELECT doc_id FROM documents d LEFT ANTI JOIN labels USING (doc_id) WHERE noul(lang, 'even') > 0.5", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND length(lang) % 2 = 0", {}),
+    "judge_full_join": ("customer nation", "SELECT c_custkey, n_name, noul(coalesce(n_name, 'none'), 'even') AS p FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey", f"SELECT c_custkey, n_name, CAST({_EVEN.format("coalesce(n_name, 'none')")} AS DOUBLE) AS p FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey", {}),
+    "judge_exists": ("customer nation", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 5000) AND noul(n_name, 'even') > 0.5", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 5000) AND length(n_name) % 2 = 0", {}),
+    "judge_cte": ("events", "WITH judged AS (SELECT event_id, event_type, noul(event_type, 'even') AS p FROM events) SELECT a.event_id, a.p + b.p AS s FROM judged a JOIN judged b ON a.event_id = b.event_id WHERE a.event_type = 'signup'", "SELECT event_id, CAST(1.8 AS DOUBLE) AS s FROM events WHERE event_type = 'signup'", {}),
+    "judge_built_state": ("events", "SELECT event_id, noul(concat(upper(event_type), date_format(ts, '-yyyy'), '-', CAST(user_id % 100 AS STRING)), 'even') AS p FROM events", f"SELECT event_id, CAST(CASE WHEN length(event_type || '-0000-' || CAST(user_id % 100 AS VARCHAR)) % 2 = 0 THEN 0.9 ELSE 0.1 END AS DOUBLE) AS p FROM events", {}),
     "judge_limit": ("events", "SELECT noul(event_type, 'even') AS p FROM events WHERE noul(event_type, 'even') > 0.5 LIMIT 10 OFFSET 3", "SELECT CAST(0.9 AS DOUBLE) AS p FROM range(10)", {}),
     "judge_limit_zero": ("events", "SELECT noul(event_type, 'even') AS p FROM events LIMIT 0", "SELECT CAST(0.9 AS DOUBLE) AS p FROM range(0)", {}),
     "judge_states_alike": ("events", "SELECT event_id, noul(named_struct('k', event_type), 'even') AS a, noul(map('k', event_type), 'even') AS b, noul(concat('{\"k\":\"', event_type, '\"}'), 'even') AS c, noul(parse_json(concat('{\"k\":\"', event_type, '\"}')), 'even') AS d FROM events", f"SELECT event_id, CAST(p AS DOUBLE) AS a, CAST(p AS DOUBLE) AS b, CAST(p AS DOUBLE) AS c, CAST(p AS DOUBLE) AS d FROM (SELECT event_id, {_EVEN.format('event_type')} AS p FROM events)", {}),

@@ -5,7 +5,9 @@ It counts requests and answers by rules that SQL can restate: see ``answer``.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import socket
 import threading
 import time
 from collections.abc import Callable
@@ -55,12 +57,28 @@ class Loopback:
         self.bodies: list[bytes] = []
         self.headers: list[dict] = []
         self.paths: list[str] = []
-        self.peak = self._now = 0
+        self.peak = self._now = self.connections = 0
+        self._sockets: set[socket.socket] = set()
         self._lock = threading.Lock()
         outer = self
 
         class Handler(BaseHTTPRequestHandler):
             protocol_version = "HTTP/1.1"
+            disable_nagle_algorithm = True
+
+            def setup(self) -> None:
+                super().setup()
+                with outer._lock:
+                    outer.connections += 1
+                    outer._sockets.add(self.connection)
+
+            def finish(self) -> None:
+                with outer._lock:
+                    outer._sockets.discard(self.connection)
+                try:
+                    super().finish()
+                except OSError:
+                    pass
 
             def do_POST(self) -> None:
                 body = self.rfile.read(int(self.headers["Content-Length"]))
@@ -111,9 +129,17 @@ class Loopback:
             self.bodies.clear(), self.headers.clear(), self.paths.clear()
             self.peak = self._now
 
+    def drop_connections(self) -> None:
+        """Close all open connections, as a server does with idle ones."""
+        with self._lock:
+            for s in self._sockets:
+                with contextlib.suppress(OSError):
+                    s.shutdown(socket.SHUT_RDWR)
+
     def __enter__(self) -> Loopback:
         return self
 
     def __exit__(self, *_: object) -> None:
         self.server.shutdown()
+        self.drop_connections()
         self.server.server_close()

@@ -293,3 +293,13 @@ def test_cancelling_stops_spending(spark, make):
     seen = server.requests
     time.sleep(1)
     assert failed and server.requests == seen < 60
+
+
+def test_limit_keeps_all_types(spark, make):
+    server, engine = make()
+    spark.sql("""SELECT id, CAST(id AS DECIMAL(20,3)) / 7 AS d, map('a', id) AS m, named_struct('x', array(id, NULL)) AS s, timestamp_ntz '2024-01-02 03:04:05' AS n, timestamp '2024-01-02 03:04:05' AS t, date '2024-01-02' AS day,
+        unhex('00ff') AS b, parse_json(concat('{"k":', id, '.50}')) AS v, interval '1' day AS i FROM range(0, 8, 1, 2)""").createOrReplaceTempView("typed")
+    want = spark.sql("SELECT id, d, m, s, n, t, day, b, CAST(v AS STRING) AS v, i FROM typed WHERE id < 3").collect()
+    got = engine.sql("SELECT id, d, m, s, n, t, day, b, CAST(v AS STRING) AS v, i FROM typed WHERE noul(v, 'x') > 0.5 AND noul(s, 'y') > 0.5 AND noul(named_struct('d', d, 'm', m), 'z') > 0.5 LIMIT 3").collect()
+    assert got == want and server.requests == 9
+    assert b'"state":{"k":1.5}' in b"".join(server.bodies)

@@ -129,3 +129,15 @@ def test_nothing_shows_the_key():
     assert "very-secret" not in repr(provider) and "host" not in repr(provider)
     assert Provider.direct("  ", "http://host/", "m").key is None
     assert Provider.direct("k", "http://host/", "m").endpoint == "http://host/v1/systemone"
+
+
+def test_connections_are_kept_and_replaced():
+    with Loopback() as server:
+        provider = direct(server)
+        for _ in range(5):
+            provider.send(BODY, "noul", Counter())
+        assert server.connections == 1
+        server.drop_connections()
+        counts = Counter()
+        provider.send(BODY, "noul", counts)
+        assert server.connections == 2 and counts["requests"] == 1 and server.requests == 6
