@@ -25,7 +25,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm.common import cut, documents, whole_text
+from assay.llm.common import cut, documents, let, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, TRUST, BLOCK = 3, 5, 0.8, 64
@@ -62,10 +62,16 @@ def _running(lengths: Column) -> Column:
     zero = F.lit(0).cast("long")
     add = lambda a, x: a + x
     push = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(lengths, at + 1, BLOCK))
-    starts = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), F.array(zero), push)
-    inside = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, s: F.slice(F.aggregate(b, F.array(s), push), 1, F.size(b)))
-    return F.flatten(inside)
+
+    def sums(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(lengths, at + 1, BLOCK))
+        return let(blocks, within)
+
+    def within(blocks: Column) -> Column:
+        starts = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), F.array(zero), push)
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, s: F.slice(F.aggregate(b, F.array(s), push), 1, F.size(b))))
+
+    return let(lengths, sums)
 
 
 def _is_valid(kind: str, x: Column) -> Column:
@@ -99,8 +105,10 @@ def _spans(text: Column, pattern: str, context: bool) -> Column:
 
         return F.transform(pieces, span)
 
-    found = F.regexp_extract_all(text, of, F.lit(0))
-    return F.when(F.size(found) > 0, build(found, F.split(text, pattern, -1))).otherwise(F.array().cast(_SPANS))
+    def some(found: Column) -> Column:
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), partial(build, found))).otherwise(F.array().cast(_SPANS))
+
+    return let(F.regexp_extract_all(text, of, F.lit(0)), some)
 
 
 def _found(df: DataFrame, text: str, mentions: bool) -> DataFrame:
