@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import documents, pick
 
-ORDER, BUCKETS, MAX_LANGUAGES, DISCOUNT, SPACE, SLICE = 4, 256, 100, 0.75, 32, 1 << 19
+ORDER, BUCKETS, MAX_LANGUAGES, DISCOUNT, SPACE, SLICE = 4, 256, 100, 0.75, 32, 1 << 17
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
