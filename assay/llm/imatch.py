@@ -75,15 +75,23 @@ def _written(hashes: Column, whole: Column) -> Column:
     return F.when(F.exists(hashes, lambda h: h > 0), digits).otherwise(F.concat(F.lit("text:"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
 
 
+def _unpacked(name: str) -> Column:
+    """The subset hashes in a fingerprint's bytes; zeros for that of a whole text."""
+    at = lambda i: F.when(F.length(name) == 8, F.lit(0)).otherwise(F.conv(F.hex(F.substring(F.col(name), 2 * i + 1, F.lit(2))), 16, 10).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), at)
+
+
 def likeness(a: Column, b: Column, written_a: Column, written_b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    some = F.size(F.filter(pairs, lambda p: (p["x"] > 0) | (p["y"] > 0)))
-    same = F.size(F.filter(pairs, lambda p: (p["x"] > 0) & (p["x"] == p["y"])))
-    return F.when(written_a == written_b, F.lit(1.0)).when(some == 0, F.lit(0.0)).otherwise(same / some)
+    def share(pairs: Column) -> Column:
+        some = F.size(F.filter(pairs, lambda p: (p["x"] > 0) | (p["y"] > 0)))
+        same = F.size(F.filter(pairs, lambda p: (p["x"] > 0) & (p["x"] == p["y"])))
+        return F.when(some == 0, F.lit(0.0)).otherwise(same / some)
+
+    return F.when(written_a == written_b, F.lit(1.0)).otherwise(let(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), share))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id, next_chars for each row.
 
     The edited text is the text with its last half taken from the start of the
     next document. Null texts are empty. Rows equal in id and text are one
@@ -100,30 +108,39 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     half = F.floor(F.col("n_chars") / 2).cast("int")
     before = order.select(F.col("n0").alias("k0"), F.col("n1").alias("k1"), F.col("k0").alias("p0"), F.col("k1").alias("p1"), half.alias("h"))
-    heads = docs.select("k0", "k1", "text").join(before, ["k0", "k1"]).select(F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.substring(F.col("text"), F.lit(1), F.col("h")).alias("head"))
-    if docs.count() > order.count():  # rows that repeat would each send their head
-        heads = heads.groupBy("k0", "k1").agg(F.min("head").alias("head"))
+    # every column of the documents goes on from either side of the two joins, so that one shuffle of the texts serves both
+    heads = docs.join(before, ["k0", "k1"]).select(F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_chars"), F.substring(F.col("text"), F.lit(1), F.col("h")).alias("head"))
+    repeats = docs.count() > order.count()
+    if repeats:  # rows that repeat would each send their head
+        heads = heads.groupBy("k0", "k1", "n0", "n1").agg(*[F.min(c).alias(c) for c in ("next_doc_id", "next_chars", "head")])
     both = docs.join(heads, ["k0", "k1"]).withColumn("rid", F.monotonically_increasing_id())
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
     versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))
-    both = both.select("doc_id", "k0", "k1", "n_chars", "rid", F.explode(versions).alias("x"))
-    both = both.select("doc_id", "k0", "k1", "n_chars", "rid", "x.v", F.col("x.t").alias("t"))
+    plain = ["doc_id", "n_chars", "next_doc_id", "next_chars", "n0", "n1"]
+    both = both.select(*plain, "k0", "k1", "rid", F.explode(versions).alias("x")).select(*plain, "k0", "k1", "rid", "x.v", F.col("x.t").alias("t"))
     both = both.withColumns({"sha256": F.when(F.col("v") == 1, F.sha2("t", 256)), "whole": F.xxhash64("t")})
     # the empty term, in every document and in the lexicon, carries what isn't a term
     flat = both.withColumn("term", F.explode(F.concat(F.array(F.lit("")), F.filter(_terms(F.col("t")), lambda t: t != ""))))
-    flat = flat.select("k0", "k1", "rid", "v", "term", F.when(F.col("term") == "", F.struct("doc_id", "n_chars", "sha256", "whole")).alias("info"))
+    flat = flat.select("k0", "k1", "rid", "v", "term", F.when(F.col("term") == "", F.struct(*plain, "sha256", "whole")).alias("info"))
     of = lambda v, x: F.when(F.col("v") == v, x)
     own = lambda v: F.collect_list(F.when((F.col("v") == v) & (F.col("slot") >= 0), F.struct("term", "slot")))
     found = flat.join(terms, "term").groupBy("k0", "k1", "rid").agg(F.first(of(0, F.col("info")), ignorenulls=True).alias("info"), F.first(of(1, F.col("info")), ignorenulls=True).alias("edited"), own(0).alias("a"), own(1).alias("b"))
     found = found.select("k0", "k1", "info", F.col("edited.sha256").alias("edited_sha256"), F.col("edited.whole").alias("edited_whole"), _sorted_hashes("a").alias("a"), _sorted_hashes("b").alias("b"))
-    found = cut(found, "hashes")
-
-    found = found.select("k0", "k1", "info.doc_id", "info.n_chars", "edited_sha256", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
-    nexts = found.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("a").alias("c"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["n0", "n1"])
-    out = found.join(order.drop("n_chars"), ["k0", "k1"]).join(nexts, ["n0", "n1"])
+    found = found.select("k0", "k1", *[f"info.{c}" for c in plain], "edited_sha256", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
     near_edited = likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint"))
-    near_next = likeness(F.col("a"), F.col("c"), F.col("fingerprint"), F.col("next_fingerprint"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
+    # hexadecimal is kept as bytes: half the size to write and shuffle
+    packed = lambda c: F.when(F.col(c).startswith("text:"), F.unhex(F.substring(c, 6, 16))).otherwise(F.unhex(c)).alias(c)
+    found = found.select("k0", "k1", *plain, F.unhex("edited_sha256").alias("edited_sha256"), packed("fingerprint"), packed("edited_fingerprint"), near_edited.alias("near_edited"))
+    found = cut(found, "fingerprints")
+
+    nexts = found.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("fingerprint").alias("after"))
+    if repeats:
+        nexts = nexts.groupBy("n0", "n1").agg(F.min("after").alias("after"))
+    near_next = likeness(_unpacked("fingerprint"), _unpacked("after"), F.col("fingerprint"), F.col("after"))
+    # in a projection of its own: lambdas would read columns that the next one renames
+    out = found.join(nexts, ["n0", "n1"]).withColumn("near_next", near_next)
+    read = lambda c: F.when(F.length(c) == 8, F.concat(F.lit("text:"), F.lower(F.hex(c)))).otherwise(F.lower(F.hex(c)))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), read("fingerprint").alias("fingerprint"), read("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "next_doc_id", "next_chars")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
