@@ -149,8 +149,8 @@ def _patterns(left: Column, right: Column) -> Column:
 def _bootstrap(mentions: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
     """``mentions`` (key, start, end, kind or null, value, patterns) to (key, start, end, kind) of those newly known."""
     mentions = cut(mentions, "mentions")
-    edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    # what one pattern sees of one value: the kind of its seeds, or none
+    edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind")
+    # what one pattern sees of one value, however often: the kind of its seeds, or none
     edges = cut(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
     known, learned = edges, None
     for _ in range(rounds):
