@@ -65,8 +65,9 @@ def _weights(spark: SparkSession) -> DataFrame:
 def matches(df: DataFrame, least: float = LEAST) -> DataFrame:
     """``df`` (key, text) to (key, line, license, score) of the units that match; line is -1 for whole documents."""
     some = df.where(F.col("text").rlike(ANCHOR))
-    lines = some.select("key", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(ANCHOR))
-    units = lines.unionAll(some.select("key", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    unit = lambda line, text: F.named_struct(F.lit("line"), line, F.lit("unit"), text)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: unit(i, x)), lambda x: x["unit"].rlike(ANCHOR))
+    units = some.select("key", F.explode(F.concat(F.array(unit(F.lit(-1), F.col("text"))), lines)).alias("u")).select("key", "u.line", "u.unit")
     terms = units.select("key", "line", F.explode(F.split(F.lower("unit"), "[^a-z0-9]+")).alias("term")).where("term <> ''")
     counted = terms.groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
     weighed = counted.join(F.broadcast(_weights(df.sparkSession)), "term", "left")
@@ -79,7 +80,8 @@ def matches(df: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def scan_licenses(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, path, kind ('file', 'header', 'inherited' or null), license, score, line and from_dir for each row.
+    """doc_id, path, kind ('file', 'header', 'inherited' or null), license, score, line
+    (-1 without a header) and from_dir for each row.
 
     Own licences go before inherited ones, headers by largest score and then
     first line; a directory with several licence files takes the one with the
@@ -90,9 +92,10 @@ def scan_licenses(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), path.cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     docs = docs.withColumns({"dir": parent, "key": F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))})
-    unique = matches(docs.select("key", "text").where(F.col("text").rlike(ANCHOR)).dropDuplicates(["key"]), least)
+    # rows that repeat scale a unit's vector, which leaves its cosine as it is
+    hits = matches(docs.select("key", "text"), least)
     first = F.max(F.when(F.col("line") >= 0, F.struct("score", (-F.col("line")).alias("back"), "license"))).alias("header")
-    own = unique.groupBy("key").agg(first, F.max(F.when(F.col("line") < 0, F.struct("score", "license"))).alias("file"))
+    own = hits.groupBy("key").agg(first, F.max(F.when(F.col("line") < 0, F.struct("score", "license"))).alias("file"))
     own = own.select(F.col("key").alias("own_key"), F.coalesce("file.license", "header.license").alias("own"), F.coalesce("file.score", "header.score").alias("own_score"), F.when(F.col("file").isNotNull(), "file").otherwise("header").alias("own_kind"), (-F.col("header.back")).alias("line"), F.when(F.col("file").isNotNull() & (F.col("key.path") != ""), F.col("key.path")).alias("file_path"))
     own = cut(own, "own")  # read twice below
     own_dir = F.regexp_replace("file_path", "/?[^/]*$", "")
@@ -106,7 +109,7 @@ def scan_licenses(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
 
     out = docs.drop("text").join(own, F.col("key") == F.col("own_key"), "left").join(near, F.col("dir") == F.col("of_dir"), "left")
     mine = F.col("own").isNotNull()
-    return out.select("doc_id", "path", F.when(mine, F.col("own_kind")).when(F.col("given").isNotNull(), "inherited").alias("kind"), F.coalesce("own", "given").alias("license"), F.col("own_score").alias("score"), F.col("line").cast("int").alias("line"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
+    return out.select("doc_id", "path", F.when(mine, F.col("own_kind")).when(F.col("given").isNotNull(), "inherited").alias("kind"), F.coalesce("own", "given").alias("license"), F.col("own_score").alias("score"), F.coalesce(F.col("line").cast("int"), F.lit(-1)).alias("line"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +136,7 @@ SELECT d.doc_id, d.path,
   CASE WHEN o.file IS NOT NULL THEN 'file' WHEN o.header IS NOT NULL THEN 'header' WHEN f.given IS NOT NULL THEN 'inherited' END AS kind,
   coalesce(o.file.license, o.header.license, f.given) AS license,
   coalesce(o.file.score, o.header.score) AS score,
-  CAST(-o.header.back AS INTEGER) AS line,
+  CAST(coalesce(-o.header.back, -1) AS INTEGER) AS line,
   CASE WHEN o.doc_id IS NULL THEN f.dir END AS from_dir
 FROM docs d LEFT JOIN own o ON d.doc_id = o.doc_id LEFT JOIN files f ON d.dir = f.dir
 """

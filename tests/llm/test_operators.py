@@ -341,7 +341,7 @@ def test_licenses_are_found_and_inherited(spark):
     rows = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x", "code"), ("a/y", "code"), ("a/b/z", "words\nLicensed under the Apache License, Version 2.0.\n" + "other words " * 50), ("a/b/w", "a license to kill is not granted by anything here"), (None, "Released under the MIT License."), ("top", None)]
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
     got = {r.doc_id: (r.kind, r.license, r.line, r.from_dir) for r in licenses.scan_licenses(df, df["path"]).collect()}
-    assert got == {0: ("file", "MIT", 0, None), 1: ("inherited", "MIT", None, "a/b"), 2: (None, None, None, None), 3: ("header", "Apache-2.0", 1, None), 4: ("inherited", "MIT", None, "a/b"), 5: ("file", "MIT", 0, None), 6: (None, None, None, None)}
+    assert got == {0: ("file", "MIT", 0, None), 1: ("inherited", "MIT", -1, "a/b"), 2: (None, None, -1, None), 3: ("header", "Apache-2.0", 1, None), 4: ("inherited", "MIT", -1, "a/b"), 5: ("file", "MIT", 0, None), 6: (None, None, -1, None)}
 
 
 # shards
