@@ -95,14 +95,14 @@ _JUDGED: dict[str, tuple] = {
     "judge_inner_join": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND noul(named_struct('n', n_name, 'r', r_name), 'even') > 0.5", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE (length(n_name) + length(r_name) + 15) % 2 = 0", {}),
     "judge_left_join": ("customer nation", "SELECT c_custkey, noul(n_name, 'even') AS p FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3", f"SELECT c_custkey, CASE WHEN n_name IS NULL THEN NULL ELSE CAST({_EVEN.format('n_name')} AS DOUBLE) END AS p FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3", {}),
     "judge_group_by": ("events", "SELECT event_type, count(*) AS n, max(p) AS p FROM (SELECT event_type, noul(event_type, 'even') AS p FROM events) GROUP BY event_type HAVING max(p) > 0.5", f"SELECT event_type, count(*) AS n, CAST(0.9 AS DOUBLE) AS p FROM events WHERE {_EVEN.format('event_type')} > 0.5 GROUP BY event_type", {}),
-    "judge_window": ("conversations", "SELECT conv_id, turn, sum(p) OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS busy FROM (SELECT conv_id, turn, noul(text, 'even') AS p FROM conversations)", f"SELECT conv_id, turn, sum({_EVEN.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS busy FROM conversations", {}),
+    "judge_window": ("conversations", "SELECT conv_id, turn, sum(p) OVER (PARTITION BY conv_id ORDER BY turn) > 1.05 AS busy FROM (SELECT conv_id, turn, noul(text, 'even') AS p FROM conversations)", f"SELECT conv_id, turn, sum({_EVEN.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) > 1.05 AS busy FROM conversations", {}),
     "judge_top_k": ("documents", "SELECT doc_id, noul(text, 'even') AS p FROM documents ORDER BY p DESC, doc_id LIMIT 25", f"SELECT doc_id, CAST({_EVEN.format('text')} AS DOUBLE) AS p FROM documents ORDER BY p DESC, doc_id LIMIT 25", {}),
     "judge_union": ("events", "SELECT event_id, noul(event_type, 'even') AS p FROM events WHERE value > 20 UNION ALL SELECT event_id, noul(event_type, 'x') AS p FROM events WHERE value < 5", f"SELECT event_id, CAST({_EVEN.format('event_type')} AS DOUBLE) AS p FROM events WHERE value > 20 UNION ALL SELECT event_id, CAST(0.9 AS DOUBLE) FROM events WHERE value < 5", {}),
     "judge_semi_join": ("documents labels", "SELECT doc_id FROM documents LEFT SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id) WHERE noul(text, 'even') > 0.5", f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND {_EVEN.format('text')} > 0.5", {}),
     "judge_outer_cheap_filter": ("events", "SELECT event_id, p FROM (SELECT event_id, value, noul(event_type, 'even') AS p FROM events) WHERE p > 0.5 AND value > 30", f"SELECT event_id, CAST(0.9 AS DOUBLE) AS p FROM events WHERE {_EVEN.format('event_type')} > 0.5 AND value > 30", {}),
     "judge_paid_or": ("events", "SELECT event_id FROM events WHERE value > 50 OR noul(event_type, 'even') > 0.5", f"SELECT event_id FROM events WHERE value > 50 OR {_EVEN.format('event_type')} > 0.5", {}),
     "judge_rollup": ("events", "SELECT event_type, p, count(*) AS n FROM (SELECT event_type, noul(event_type, 'even') AS p FROM events) GROUP BY ROLLUP (event_type, p)", f"SELECT event_type, p, count(*) AS n FROM (SELECT event_type, CAST({_EVEN.format('event_type')} AS DOUBLE) AS p FROM events) GROUP BY ROLLUP (event_type, p)", {}),
-    "judge_except": ("events", "SELECT user_id FROM events WHERE noul(event_type, 'even') > 0.5 EXCEPT SELECT user_id FROM events WHERE value > 90", f"SELECT user_id FROM events WHERE {_EVEN.format('event_type')} > 0.5 EXCEPT SELECT user_id FROM events WHERE value > 90", {}),
+    "judge_except": ("events", "SELECT user_id, event_type FROM events WHERE noul(event_type, 'even') > 0.5 EXCEPT SELECT user_id, event_type FROM events WHERE value > 50", f"SELECT user_id, event_type FROM events WHERE {_EVEN.format('event_type')} > 0.5 EXCEPT SELECT user_id, event_type FROM events WHERE value > 50", {}),
     "judge_intersect": ("events", "SELECT user_id FROM events WHERE noul(event_type, 'even') > 0.5 INTERSECT SELECT user_id FROM events WHERE noul(event_type, 'even') < 0.5", f"SELECT user_id FROM events WHERE {_EVEN.format('event_type')} > 0.5 INTERSECT SELECT user_id FROM events WHERE {_EVEN.format('event_type')} < 0.5", {}),
     "judge_anti_join": ("documents labels", "SELECT doc_id FROM documents d LEFT ANTI JOIN labels USING (doc_id) WHERE noul(lang, 'even') > 0.5", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND length(lang) % 2 = 0", {}),
     "judge_full_join": ("customer nation", "SELECT c_custkey, n_name, noul(coalesce(n_name, 'none'), 'even') AS p FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey", f"SELECT c_custkey, n_name, CAST({_EVEN.format("coalesce(n_name, 'none')")} AS DOUBLE) AS p FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey", {}),
