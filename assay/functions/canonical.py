@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from json.encoder import encode_basestring
 from typing import Any
 
 from assay.errors import JudgmentError
@@ -98,50 +99,53 @@ def structured(text: str) -> Any:
         return text
 
 
-class _Writer:
-    def __init__(self, limit: int) -> None:
-        self.parts: list[str] = []
-        self.left = limit
-
-    def add(self, text: str) -> None:
-        try:
-            self.left -= len(text.encode("utf-8"))
-        except UnicodeEncodeError:
-            raise JudgmentError("text is not valid Unicode") from None
-        if self.left < 0:
-            raise JudgmentError(f"value exceeds the local {MAX_BYTES}-byte JSON limit")
-        self.parts.append(text)
-
-    def write(self, value: Any, depth: int = 0) -> None:
-        if isinstance(value, Number):
-            self.add(str.__str__(value))
-        elif isinstance(value, str):
-            self.add(json.dumps(value, ensure_ascii=False))
-        elif value is None or isinstance(value, bool):
-            self.add({None: "null", True: "true", False: "false"}[value])
-        elif isinstance(value, int):
-            self.add(spell(str(value)))
-        elif isinstance(value, dict):
-            check_depth(depth + 1)
-            self.add("{")
-            for i, key in enumerate(sorted(value)):
-                self.add(("," if i else "") + json.dumps(key, ensure_ascii=False) + ":")
-                self.write(value[key], depth + 1)
-            self.add("}")
-        elif isinstance(value, list | tuple):
-            check_depth(depth + 1)
-            self.add("[")
-            for i, item in enumerate(value):
-                if i:
-                    self.add(",")
-                self.write(item, depth + 1)
-            self.add("]")
-        else:
-            raise JudgmentError(f"cannot represent {type(value).__name__} losslessly in JSON")
+def _write(value: Any, depth: int, out: list[str]) -> None:
+    kind = type(value)
+    if kind is str:
+        out.append(encode_basestring(value))
+    elif kind is Number:
+        out.append(str.__str__(value))
+    elif value is None or kind is bool:
+        out.append({None: "null", True: "true", False: "false"}[value])
+    elif kind is int:
+        out.append(spell(str(value)))
+    elif kind is dict:
+        check_depth(depth + 1)
+        mark = "{"
+        for key in sorted(value):
+            out.append(mark + encode_basestring(key) + ":")
+            _write(value[key], depth + 1, out)
+            mark = ","
+        out.append("}" if value else "{}")
+    elif kind is list or kind is tuple:
+        check_depth(depth + 1)
+        mark = "["
+        for item in value:
+            out.append(mark)
+            _write(item, depth + 1, out)
+            mark = ","
+        out.append("]" if value else "[]")
+    else:
+        raise JudgmentError(f"cannot represent {kind.__name__} losslessly in JSON")
+
+
+def canonical_text(value: Any, depth: int = 0) -> str:
+    """The value's canonical JSON, as it stands inside ``depth`` containers; size unchecked."""
+    out: list[str] = []
+    _write(value, depth, out)
+    return "".join(out)
+
+
+def bounded(text: str) -> bytes:
+    try:
+        data = text.encode("utf-8")
+    except UnicodeEncodeError:
+        raise JudgmentError("text is not valid Unicode") from None
+    if len(data) > MAX_BYTES:
+        raise JudgmentError(f"value exceeds the local {MAX_BYTES}-byte JSON limit")
+    return data
 
 
 def canonical(value: Any) -> bytes:
     """The value's canonical JSON, within the limits of depth and size."""
-    writer = _Writer(MAX_BYTES)
-    writer.write(value)
-    return "".join(writer.parts).encode("utf-8")
+    return bounded(canonical_text(value))

@@ -16,7 +16,7 @@ import pyarrow.types as at
 
 from assay.errors import JudgmentError
 from assay.functions import variant
-from assay.functions.canonical import canonical, check_depth, parse
+from assay.functions.canonical import check_depth, parse
 
 Convert = Callable[[Any, int], Any]
 
@@ -104,7 +104,7 @@ def root_text(text: str) -> Any:
 
 
 def root_converter(kind: pa.DataType) -> Callable[[Any], Any]:
-    """From a non-null value of a column's type to a checked state."""
+    """From a non-null value of a column's type to a state, whose size and depth are checked where it is written."""
     inner = converter(kind)
     text = at.is_string(kind) or at.is_large_string(kind) or (at.is_dictionary(kind) and at.is_string(kind.value_type))
 
@@ -112,7 +112,6 @@ def root_converter(kind: pa.DataType) -> Callable[[Any], Any]:
         state = root_text(value) if text else inner(value, 0)
         if isinstance(state, bool) or not isinstance(state, str | dict | list) or (isinstance(state, str) and type(state) is not str):
             raise JudgmentError("state must be text, a JSON object or array")
-        canonical(state)
         return state
 
     return convert

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from assay.errors import FatalError, JudgmentError
 from assay.functions import requests as rq
-from assay.functions.canonical import canonical
+from assay.functions.canonical import bounded, canonical_text
 from assay.functions.state import root_converter
 from assay.operators.metrics import report
 from assay.sources.provider import Provider
@@ -28,7 +28,7 @@ ARROW = {
     "score": pa.struct([("score", pa.float64()), ("confidence", pa.float64()), ("probabilities", _MAP)]),
     "ask": pa.string(),
 }
-_FAILED = object()
+_FAILED, SLICE = object(), 256
 
 
 @dataclass(frozen=True)
@@ -74,29 +74,45 @@ class Judge:
     def __init__(self, function: str, provider: Provider, settings: Settings) -> None:
         self.function, self.provider, self.settings = function, provider, settings
         self._questions: dict[tuple, Any] = {}
+        self._keys: dict[Any, bytes] = {}
+        self._results: dict[bytes, Any] = {}
 
-    def _asked(self, first: str | None, criteria: str | None) -> Any:
-        """Literal arguments come once per row, so what they parse to is kept for the batch."""
+    def _asked(self, first: str | None, criteria: str | None) -> str:
+        """The questions' canonical JSON. Literal arguments come once per row, so it is kept for the batch."""
         key = (first, criteria)
         if key not in self._questions:
             try:
-                self._questions[key] = rq.questions_of(self.function, first, criteria)
+                self._questions[key] = canonical_text(rq.questions_of(self.function, first, criteria), 1)
             except JudgmentError as e:
                 self._questions[key] = e
         if isinstance(found := self._questions[key], JudgmentError):
             raise JudgmentError(*found.args)
         return found
 
+    def _body(self, state: Any, first: str | None, criteria: str | None, model: str | None) -> bytes:
+        """The request's canonical JSON."""
+        text = canonical_text(state, 1)
+        asked = self._asked(first, criteria)
+        model = rq.check_model(self.settings.model if model is None else model)
+        return bounded(f'{{"model":{canonical_text(model)},"questions":{asked},"state":{text}}}')
+
     def row(self, state: Any, convert: Callable[[Any], Any], first: str | None, criteria: str | None, model: str | None, cache: Cache, counts: Counter) -> Any:
         if state is None:
             return None
-        body = canonical({"state": convert(state), "questions": self._asked(first, criteria), "model": rq.check_model(self.settings.model if model is None else model)})
-        key = hashlib.sha256(body).digest()
+        # equal texts of a batch have their request's hash looked up
+        known = (state, first, criteria, model) if type(state) is str else None
+        key, body = self._keys.get(known), None
+        if key is None:
+            body = self._body(convert(state), first, criteria, model)
+            key = hashlib.sha256(body).digest()
+            if known:
+                self._keys[known] = key
         if key in cache.replies:
             counts["cache_hits"] += 1
             if (reply := cache.replies[key]) is _FAILED:
                 raise JudgmentError("cached judgment request failed")
         else:
+            body = body or self._body(convert(state), first, criteria, model)
             cache.reserve()
             try:
                 reply = self.provider.send(body, self.function, counts)
@@ -104,15 +120,18 @@ class Judge:
                 cache.put(key, _FAILED)
                 raise
             cache.put(key, reply)  # before it is read: a reply that doesn't fit one function may be another's answer
-        return rq.result_of(self.function, reply)
+        if key not in self._results:
+            self._results[key] = rq.result_of(self.function, reply)
+        return self._results[key]
 
     def batch(self, states: pa.Array, firsts: list, criteria: list, models: list, cache: Cache, counts: Counter) -> pa.Array:
-        self._questions.clear()
+        self._questions.clear(), self._keys.clear(), self._results.clear()
         convert, out = root_converter(states.type), []
         for i in range(len(states)):
+            if i % SLICE == 0:
+                values = states.slice(i, SLICE).to_pylist()
             try:
-                value = states[i].as_py()
-                out.append(self.row(value, convert, firsts[i], criteria[i], models[i], cache, counts))
+                out.append(self.row(values[i % SLICE], convert, firsts[i], criteria[i], models[i], cache, counts))
             except JudgmentError as e:
                 counts["failures"] += 1
                 if self.settings.on_error == "fail":
