@@ -12,6 +12,7 @@ task never holds more than its group.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,6 +67,16 @@ class Encoder:
             return self.exact.encode(text, add_special_tokens=False).ids
 
 
+def chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts that can be encoded one by one: the split pattern always begins anew at a space between two other characters."""
+    at, gap = 0, re.compile(r"(?<=\S) (?=\S)")
+    while at < len(text):
+        end = gap.search(text, at + size)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -77,17 +88,22 @@ def pieces(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     path = vocabulary or default_vocabulary()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, size = encoder(path).encode, 4 * window
         for batch in batches:
             ids, starts, lengths, sums, totals = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                tokens = encode(text) if text else []
-                tokens.append(end_id)
-                data = np.array(tokens, dtype="<u4").tobytes()
-                for at in range(0, len(tokens), window):
-                    part = data[4 * at : 4 * (at + window)]
-                    ids.append(doc), starts.append(at), lengths.append(len(part) // 4), sums.append(zlib.crc32(part)), totals.append(len(tokens))
+                total, rest = 0, b""
+                for part in chunks(text.as_py() or ""):
+                    rest += np.array(encode(part), dtype="<u4").tobytes()
+                    full = len(rest) // size * size
+                    for at in range(0, full, size):
+                        ids.append(doc), starts.append(total), lengths.append(window), sums.append(zlib.crc32(rest[at : at + size]))
+                        total += window
+                    rest = rest[full:]
+                rest += end_id.to_bytes(4, "little")
+                ids.append(doc), starts.append(total), lengths.append(len(rest) // 4), sums.append(zlib.crc32(rest))
+                total += len(rest) // 4
+                totals += [total] * (len(ids) - len(totals))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, lengths, sums, totals)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, _PIECE)
