@@ -221,7 +221,7 @@ class Identifier:
             self.bound[i] = (mean - mixed[0, i] / max(1, many[0])) / 2
             self.spread[i] = 2 * max(3.0, float((np.maximum(h - mean, 0) * np.sqrt(n)).max(initial=0)))
 
-    def identify(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+    def identify(self, texts: list[str | None] | pa.Array) -> list[tuple[str, float, float, bool]]:
         """Language, score, cross-entropy and whether rejected, for each text."""
         letters, parts, of = _letters()[1], [], []
         heard = np.zeros(len(texts), bool)
@@ -236,7 +236,7 @@ class Identifier:
                 parts.clear(), of.clear()
 
         for i, text in enumerate(texts):
-            codes = code_points(text)
+            codes = code_points(text.as_py() if isinstance(text, pa.Scalar) else text)
             heard[i] = bool(letters[codes].any())
             if heard[i] and self.languages:
                 for at in range(0, len(codes), SLICE):
@@ -249,7 +249,7 @@ class Identifier:
         out = []
         for i in range(len(texts)):
             if not heard[i] or not self.languages:
-                out.append((UNKNOWN, 0.0, 0.0, True))
+                out.append((UNKNOWN, 0.0, 0.0, not heard[i]))
                 continue
             n = max(1, int(sizes[i]))
             h = -likely[i] / n
@@ -261,7 +261,11 @@ class Identifier:
 
 
 def learn(df: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES, order: int = ORDER) -> Identifier:
-    """``df``: doc_id, text, lang of the rows to learn from; at most ``buckets * max_languages`` of them reach the driver."""
+    """``df``: doc_id, text, lang of the rows to learn from; at most ``buckets * max_languages`` of them reach the driver.
+
+    Rows without id or language teach nothing; of rows that share both, the one
+    with the least text counts.
+    """
     named = df.where("lang is not null and doc_id is not null")
     top = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     ids = named.join(F.broadcast(top), "lang", "left_semi").groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
@@ -276,7 +280,8 @@ def identify(df: DataFrame, model: Identifier, id_col: str = "doc_id", text_col:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for each row.
 
     ``und`` with score 0 where the text is null or has no letter, or no
-    language was learned. Repeated rows each come out; null ids stay null.
+    language was learned. Repeated rows each come out; null ids stay null; no
+    rows give none. Columns other than the two named are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -284,7 +289,7 @@ def identify(df: DataFrame, model: Identifier, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = shared.value.identify(part.column("text").to_pylist())
+                found = shared.value.identify(part.column("text"))
                 columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
@@ -303,18 +308,14 @@ def learned_from(df: DataFrame) -> Identifier:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected; all columns."""
+    """The documents that aren't rejected; all columns. Null texts and those without letters are rejected, and no others where nothing could be learned."""
     model = learned_from(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        for at in range(0, len(texts), 1024):
-            out += [not x[3] for x in shared.value.identify([t if isinstance(t, str) else None for t in texts.iloc[at : at + 1024]])]
-        return pd.Series(out, dtype=bool)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        found = (shared.value.identify(texts.slice(at, 1024)) for at in range(0, len(texts), 1024))
+        return pa.array([not x[3] for part in found for x in part], pa.bool_())
 
     return docs.where(known(F.col("text").cast("string")))
 
