@@ -17,7 +17,8 @@ such a point, so nothing is lost, and the work is linear in the members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,19 +34,41 @@ WORDS, SEED, RADIUS, BLOCKS = 3, 42, 2, 8
 _LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 for null or a text without words."""
+def _words(data: bytes, chunk: int) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of those in about ``chunk`` bytes."""
+    at, space = 0, re.compile(rb"[ \t-\r]")
+    while at < len(data):
+        end = space.search(data, at + chunk)
+        end = end.start() if end else len(data)
+        if found := data[at:end].split():
+            yield found
+        at = end
+
+
+def fingerprint(text: str | None, words: int = WORDS, chunk: int = 1 << 20) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; 0 for null or a text without words.
+
+    Memory beyond the text goes with ``chunk``, not with the text.
+    """
     # bytes.lower changes A-Z only, and bytes.split cuts at space and \t to \r only
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) > words else [b" ".join(parts)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 14):
+    ones, count, carried = np.zeros(64, dtype=np.int64), 0, []
+    for found in _words((text or "").encode("utf-8", "surrogatepass").lower(), chunk):
+        carried += found
+        if len(carried) >= words:
+            count += _add(map(b" ".join, zip(*(carried[i:] for i in range(words)), strict=False)), len(carried) - words + 1, ones)
+            carried = carried[len(carried) - words + 1 :]
+    if not count and carried:
+        count = _add([b" ".join(carried)], 1, ones)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
+def _add(shingles: Iterable[bytes], n: int, ones: np.ndarray) -> int:
+    """Count the set bits of the shingles' hashes into ``ones``."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8", count=n)
+    for at in range(0, n, 1 << 14):
         part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return n
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +98,13 @@ def near_links(fps: DataFrame, crowd: int = 64) -> DataFrame:
 
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("top").alias("b")).where(apart <= RADIUS)
-    few = cells.join(shared.where(f"n > 2 and n <= {crowd}").select("k", "cell"), ["k", "cell"])
+    crowded = cut(cells.join(shared.where("n > 2").select("k", "cell", "n"), ["k", "cell"]), "crowded")
+    few = crowded.where(f"n <= {crowd}")
     left, right = (few.select("k", "cell", F.col("fp").alias(f), F.col("at").alias(p)) for f, p in (("a", "p"), ("b", "q")))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS) & (apart <= RADIUS)
     more = left.join(right, ["k", "cell"]).where(near).select("a", "b")
 
-    many = cells.join(shared.where(f"n > {crowd}").select("k", "cell"), ["k", "cell"]).select("fp").distinct()
+    many = crowded.where(f"n > {crowd}").select("fp").distinct()
     flips = F.array(*[F.lit(signed(x)).cast("long") for x in (0, *(1 << i for i in range(64)))])
     ball = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     heads = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
