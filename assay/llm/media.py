@@ -201,7 +201,8 @@ def feature(payload: bytes, kind: str) -> str:
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, declared, media): each text in a format picked by its bytes, so equal texts give equal files.
 
-    Null texts count as empty. The declared type is left as unknown for ``sniff`` to correct.
+    Null texts count as empty; null ids stay null, repeated rows each come out,
+    no rows give none. Columns other than the two named are not read. The declared type is left as unknown for ``sniff`` to correct.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

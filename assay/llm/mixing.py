@@ -55,8 +55,8 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, tempera
     return wanted.select("source", "rate", "parts", thresholds.alias("thresholds"))
 
 
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``copy`` (from 0) and ``shuffle_key``, repeated to the target weights, in shuffled order.
+def mix(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "shuffle_key") -> DataFrame:
+    """All columns of ``df`` with ``copy_col`` (from 0) and ``key_col``, repeated to the target weights, in shuffled order.
 
     Columns of ``df`` of those two names are replaced. Repeated rows of one id
     get equal counts; a null id hashes as the text 'null'. Null sources are a
@@ -72,11 +72,11 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, temperatu
     drawn = parts.select("__row", "__id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("__n")).where("__n > 0")
     copies = drawn.select("__row", "__id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10).cast("long"))
-    names = [c for c in df.columns if c not in ("copy", "shuffle_key")]
+    names = [c for c in df.columns if c not in (copy_col, key_col)]
     # the keys are even by construction, so their leading bits name the partition and no sample has to be drawn for ranges
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartitionById(n, F.floor(F.col("shuffle_key") / float(1 << 60) * n).cast("int")).sortWithinPartitions("shuffle_key", "copy")
-    return dealt.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], "copy", "shuffle_key")
+    return dealt.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], F.col("copy").alias(copy_col), F.col("shuffle_key").alias(key_col))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

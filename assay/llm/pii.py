@@ -211,7 +211,9 @@ def _by_kind(*arrays: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """All columns of ``docs``, each span in ``text_col`` replaced by its kind in capitals and brackets, ``size_col`` counted anew where that happened."""
-    found = find_pii(docs, text_col).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("__spans"))
+    packed = docs.select(F.struct("*").alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
+    spans = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = find_pii(packed, "__text", keep=["__doc"]).select(F.col("__doc").alias("__row"), spans.alias("__spans"))
     text = F.col(f"__row.`{text_col}`").cast("string")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 

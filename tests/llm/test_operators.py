@@ -145,6 +145,12 @@ def test_simhash_equals_brute_force(spark, sf):
     assert [got[r.doc_id].component_id for r in rows] == [rows[k].doc_id for k in roots]
 
 
+def test_fingerprints_in_chunks():
+    text = "  One two\tTHREE " + " ".join(f"w{i % 91}" for i in range(700)) + "\x0b end\n"
+    assert {simhash.fingerprint(text, chunk=c) for c in (1, 7, 100, 1 << 20)} == {plain_fingerprint(text)}
+    assert [simhash.fingerprint(t) for t in ("A b", " x ", "", None, "a b c")] == [plain_fingerprint(t) for t in ("a b", "x", "", None, "A B C")]
+
+
 @pytest.mark.parametrize("crowd", [3, 64])
 def test_links_connect_what_pairs_would(spark, crowd):
     from assay.llm.components import connected_components
@@ -318,6 +324,13 @@ def test_encoder_equals_the_library(spark):
         assert ours.encode(text) == reader.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_in_chunks():
+    ours = packing.encoder(packing.default_vocabulary())
+    for text in ("a b  c\n d 'ere it's  ", "word " * 50, " x", "naïve 😀 é  \t z", "one  two   three"):
+        for size in (1, 2, 5, 1000):
+            assert [i for part in packing.chunks(text, size) for i in ours.encode(part)] == ours.encode(text)
+
+
 def test_best_fit_equals_a_scan():
     rng = random.Random(2)
     lengths = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)

@@ -37,10 +37,12 @@ def test_stages(spark, sf):
 def test_empty_and_odd_documents(spark, sf, tmp_path):
     from tests.llm.test_operators import frame, odd_rows
 
+    clash = ["base", "more", "copy", "fp", "component_id", "rejected", "key"]
     for rows in (odd_rows(), []):
-        docs = frame(spark, rows)
+        docs = frame(spark, rows).selectExpr("*", *[f"'{c}' AS `{c}`" for c in clash])
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, sf).write.parquet(path := str(tmp_path / f"{len(rows)}-{k}"))
             docs = spark.read.parquet(path)
             if name != "pack":
-                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
+                assert all(r[c] == c for r in docs.collect() for c in clash)
