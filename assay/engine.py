@@ -65,10 +65,11 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, provider: Provider, host: str | None = None, **settings: Any) -> None:
+    def __init__(self, spark: SparkSession, provider: Provider, host: str | None = None, collector: Collector | None = None, **settings: Any) -> None:
+        """``host`` is the driver's address as workers reach it; engines may share a ``collector``."""
         self.spark, self.provider = spark, provider
         self._settings = Settings(**({"model": provider.default_model} | settings))
-        self.collector = Collector(host or spark.conf.get("spark.driver.host", "127.0.0.1"))
+        self.collector, self._own = collector or Collector(host or spark.conf.get("spark.driver.host", "127.0.0.1")), collector is None
         self.trees, self._count, self._name = Trees(spark), itertools.count(), uuid.uuid4().hex[:8]
         self._registered = False
 
@@ -87,7 +88,8 @@ class Engine:
         if self._registered:
             for name in PARAMETERS:
                 self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
-        self.collector.close()
+        if self._own:
+            self.collector.close()
 
     def _next(self) -> str:
         return f"{self._name}-{next(self._count)}"

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from assay.engine import Engine
 from assay.functions.columns import register_helpers
 from assay.functions.requests import PARAMETERS
+from assay.operators.metrics import Collector
 from assay.sources.loopback import MODEL, Loopback
 from assay.sources.provider import Provider
 from assay.streaming.judged import run_to_end, stream_table
 
 _server: list[Loopback] = []
+_collector: list[Collector] = []
 
 
 def server() -> Loopback:
@@ -25,7 +27,9 @@ def server() -> Loopback:
 
 def engine(spark: SparkSession, **settings: object) -> Engine:
     """An engine on the loopback server, its functions in the session."""
-    made = Engine(spark, Provider.direct("loopback", server().url, MODEL), **settings)
+    if not _collector:
+        _collector.append(Collector())
+    made = Engine(spark, Provider.direct("loopback", server().url, MODEL), collector=_collector[0], **settings)
     if not spark.catalog.functionExists(next(iter(PARAMETERS))):
         made.register()
     register_helpers(spark)
