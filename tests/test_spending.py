@@ -303,3 +303,39 @@ def test_limit_keeps_all_types(spark, make):
     got = engine.sql("SELECT id, d, m, s, n, t, day, b, CAST(v AS STRING) AS v, i FROM typed WHERE noul(v, 'x') > 0.5 AND noul(s, 'y') > 0.5 AND noul(named_struct('d', d, 'm', m), 'z') > 0.5 LIMIT 3").collect()
     assert got == want and server.requests == 9
     assert b'"state":{"k":1.5}' in b"".join(server.bodies)
+
+
+def test_aggregates_read_what_filters_paid_for(spark, make):
+    server, engine = make()
+    table(spark)
+    rows = engine.sql("SELECT tenant_id, max(noul(body, 'x')) AS m, sum(noul(body, 'x') + 1) AS s, count(*) AS n FROM t WHERE noul(body, 'x') > 0.05 GROUP BY tenant_id ORDER BY tenant_id").collect()
+    assert [(r.tenant_id, r.m, round(r.s, 6), r.n) for r in rows] == [(41, 0.9, 17.4, 10), (42, 0.9, 17.4, 10)] and server.requests == 20
+    server.reset()
+    rows = engine.sql("SELECT noul(body, 'x') AS p, count(*) AS n FROM t GROUP BY noul(body, 'x') HAVING count(*) > 5").collect()
+    assert [(r.p, r.n) for r in rows] == [(0.9, 16)] and server.requests == 20
+    server.reset()
+    rows = engine.sql("SELECT tenant_id, noul(max(body), 'x') AS p FROM t GROUP BY tenant_id HAVING noul(max(body), 'x') < 0.5").collect()
+    assert len(rows) == 2 and server.requests in (2, 4)
+
+
+def test_limit_shares_replies_across_rounds(spark, make):
+    server, engine = make()
+    spark.createDataFrame([(42, f"{'reject' if i % 4 == 0 else 'record'}-{i % 20}") for i in range(60)], "tenant_id int, body string").coalesce(1).createOrReplaceTempView("t")
+    assert len(engine.sql(f"{M} LIMIT 45").collect()) == 45 and server.requests == 20
+
+
+def test_large_rubrics(spark, make):
+    server, engine = make()
+    spark.createDataFrame([("s", json.dumps({"true": "x" * 65536 + str(i % 16)})) for i in range(32)], "body string, criteria string").coalesce(1).createOrReplaceTempView("rubrics")
+    result = engine.sql("SELECT noul(body, 'x', criteria) AS p FROM rubrics")
+    assert len(result.collect()) == 32 and server.requests == 16 and result.metrics()["cache_hits"] == 16
+
+
+def test_choices_can_be_stored_with_and_without_their_probabilities(spark, make, tmp_path):
+    server, engine = make()
+    options = json.dumps({f"option-{i:02}": None for i in range(75)})
+    df = engine.sql(f"SELECT id, choice(concat('s', id), 'x', '{options}') AS j FROM range(50)").dataframe()
+    df.write.parquet(str(tmp_path / "full"))
+    spark.read.parquet(str(tmp_path / "full")).selectExpr("id", "j.label", "j.confidence").write.parquet(str(tmp_path / "short"))
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    assert server.requests == 50 and size("full") > 2 * size("short")
