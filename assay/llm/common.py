@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,14 +23,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="assay-"))
 
 
+def _clean_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder in _cleaned:
+        return
+    _cleaned.add(folder)
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path(folder), spark.sparkContext._jsc.hadoopConfiguration()
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path.getFileSystem(conf).delete(path, True)
+
+    atexit.register(clean)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     This cuts the lineage: what comes after depends on files that outlive any
     executor, sees the written sizes as statistics, and never recomputes ``df``.
+    The application's folder goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    _clean_at_exit(spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

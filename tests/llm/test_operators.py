@@ -2,10 +2,14 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -60,6 +64,19 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+def test_intermediate_tables_go_when_the_driver_ends(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.ui.enabled", "false").getOrCreate()
+from assay.llm.common import cut
+import glob
+assert cut(spark.range(3), "x").count() == 3 and glob.glob("{tmp_path}/shared/*/x-*/*.parquet")
+"""
+    repo = Path(__file__).resolve().parent.parent.parent
+    subprocess.run([sys.executable, "-c", code], cwd=repo, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(repo)})
+    assert not list((tmp_path / "shared").glob("*/x-*"))
+
+
 # mixing
 
 
