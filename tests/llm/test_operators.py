@@ -247,7 +247,9 @@ def plain_imatch(texts, rare, common):
     return cut, lexicon, h
 
 
-def test_imatch_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [imatch.BROADCAST, 0])
+def test_imatch_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(imatch, "BROADCAST", broadcast)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(120)]
