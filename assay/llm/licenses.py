@@ -107,6 +107,7 @@ def scan_licenses(df: DataFrame, path: Column, id_col: str = "doc_id", text_col:
     above = dirs.select("dir", F.explode(ups).alias("up")).select("dir", "up.depth", "up.at").distinct()
     near = above.join(licensed, "at").groupBy("dir").agg(F.max(F.struct("depth", "at", "given")).alias("x")).select(F.col("dir").alias("of_dir"), F.col("x.at").alias("from_dir"), F.col("x.given").alias("given"))
 
+    near = cut(near, "directories")  # a table of its own, so that Spark can split large directories in the join
     out = docs.drop("text").join(own, F.col("key") == F.col("own_key"), "left").join(near, F.col("dir") == F.col("of_dir"), "left")
     mine = F.col("own").isNotNull()
     return out.select("doc_id", "path", F.when(mine, F.col("own_kind")).when(F.col("given").isNotNull(), "inherited").alias("kind"), F.coalesce("own", "given").alias("license"), F.col("own_score").alias("score"), F.coalesce(F.col("line").cast("int"), F.lit(-1)).alias("line"), F.when(~mine, F.col("from_dir")).alias("from_dir"))
