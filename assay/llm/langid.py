@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from assay.llm.common import documents, pick
 
 ORDER, BUCKETS, MAX_LANGUAGES, DISCOUNT, SPACE, SLICE = 4, 256, 100, 0.75, 32, 1 << 17
+#: Calibration of rejection: excerpts of a text for each length, log2 of the longest, fewest that a quantile is taken of, and the quantiles.
+EXCERPTS, LONGEST, FEWEST, OWN, OTHERS = 8, 12, 20, 0.995, 0.05
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -177,8 +179,8 @@ class Identifier:
     def _all(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.log(np.maximum(m.probability(grams, contexts), 1e-12)) for m in self.models], axis=1).astype(np.float32)
 
-    def totals(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each array of code points: the log-likelihood by language, and the number of characters scored."""
+    def _scored(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For arrays of code points: the log-likelihood of every character scored by language, and how many each array has."""
         clean = [_normal(p, self.order) for p in parts]
         sizes = np.array([len(c) - self.order + 1 for c in clean])
         codes = np.concatenate(clean)
@@ -196,30 +198,73 @@ class Identifier:
             grams = [np.zeros(len(places), np.uint64), *(h[places] for h in hashes[1:])]
             contexts = [grams[0], grams[0], *(h[places - 1] for h in hashes[1:-1])]
             scores[missed] = self._all(grams, contexts)[of]
+        return scores, sizes
+
+    def totals(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each array of code points: the log-likelihood by language, and the number of characters scored."""
+        scores, sizes = self._scored(parts)
         out = np.zeros((len(parts), len(self.languages)))
         starts, some = np.cumsum(sizes) - sizes, sizes > 0
         if some.any():
             out[some] = np.add.reduceat(scores, starts[some], axis=0, dtype=np.float64)
         return out, sizes
 
-    def _calibrate(self, samples: dict[str, list[str]]) -> None:
-        """The cross-entropy above which a text of n characters is rejected: bound + spread / sqrt(n), by language.
+    def _excerpts(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The cross-entropies by language of up to ``EXCERPTS`` excerpts of 2^k characters, for each k up to ``LONGEST``."""
+        scores, sizes = self._scored([codes[:SLICE]])
+        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores, axis=0, dtype=np.float64)])
+        out = []
+        for k in range(LONGEST + 1):
+            many = min(EXCERPTS, int(sizes[0]) >> k)
+            at = np.linspace(0, sizes[0] - (1 << k), many).astype(np.int64) if many else np.zeros(0, np.int64)
+            out.append((sums[at] - sums[at + (1 << k)]) / (1 << k))
+        return out
 
-        The bound lies halfway between the language's own texts and the same
-        texts with their letters shuffled, which only share its alphabet. The
-        spread is twice the largest excess over the mean among the texts kept
-        apart, so that text of the kinds learned stays, however short.
+    def _calibrate(self, samples: dict[str, list[str]]) -> None:
+        """``limits``: the cross-entropy above which a text of 2^k characters is rejected, by language and k.
+
+        It lies halfway between a high quantile of the language's own excerpts
+        of that length, from texts kept apart, and a low one of those of other
+        languages, each of which counts where this language would be taken for
+        it were it unknown. Where others are no closer than halfway to the same
+        texts with their letters shuffled, as with other scripts or no other
+        language, that takes their place. It is never below the own quantile.
         """
-        self.bound, self.spread = np.zeros(len(self.languages)), np.zeros(len(self.languages))
+        count = len(self.languages)
+        self.limits = np.zeros((count, LONGEST + 1))
+        own: list[list[np.ndarray]] = [[np.zeros(0)] * (LONGEST + 1)] * count
+        other: list[list[list[np.ndarray]]] = [[[] for _ in range(LONGEST + 1)] for _ in range(count)]
+        middle, mixed = np.zeros(count), np.zeros(count)
         for i, name in enumerate(self.languages):
             apart = [code_points(t) for k, t in enumerate(samples[name]) if not k % 5 or len(samples[name]) < 5]
+            found = [np.concatenate(x) for x in zip(*map(self._excerpts, apart), strict=True)]
+            own[i] = [h[:, i] for h in found]
+            for k, h in enumerate(found):
+                if count > 1 and len(h):
+                    h = h.copy()
+                    h[:, i] = np.inf
+                    best = h.argmin(axis=1)
+                    for j in np.unique(best):
+                        other[j][k].append(h[best == j, j])
             totals, sizes = self.totals(apart)
-            some = sizes > 0
-            h, n = -totals[some, i] / sizes[some], sizes[some]
-            mean = np.average(h, weights=n) if len(h) else 0.0
-            mixed, many = self.totals([np.random.default_rng(0).permutation(np.concatenate(apart))])
-            self.bound[i] = (mean - mixed[0, i] / max(1, many[0])) / 2
-            self.spread[i] = 2 * max(3.0, float((np.maximum(h - mean, 0) * np.sqrt(n)).max(initial=0)))
+            middle[i] = -totals[:, i].sum() / max(1, sizes.sum())
+            totals, sizes = self.totals([np.random.default_rng(0).permutation(np.concatenate(apart)[:SLICE])])
+            mixed[i] = -totals[0, i] / max(1, sizes[0])
+        for i in range(count):
+            most = far = limit = np.inf
+            for k in range(LONGEST + 1):
+                if len(own[i][k]) >= FEWEST or not k:  # else as for shorter texts
+                    most = float(np.quantile(own[i][k], OWN)) if len(own[i][k]) else np.inf
+                    far = (middle[i] + mixed[i]) / 2
+                    rest = np.concatenate(other[i][k]) if other[i][k] else np.zeros(0)
+                    if len(rest) >= FEWEST:
+                        far = min(far, float(np.quantile(rest, OTHERS)))
+                    limit = max(most, (most + far) / 2)
+                self.limits[i, k] = limit
+
+    def limit(self, language: int, n: int) -> float:
+        """The cross-entropy above which a text of ``n`` characters is rejected."""
+        return float(np.interp(np.log2(n), np.arange(LONGEST + 1), self.limits[language]))
 
     def identify(self, texts: list[str | None] | pa.Array) -> list[tuple[str, float, float, bool]]:
         """Language, score, cross-entropy and whether rejected, for each text."""
@@ -256,7 +301,7 @@ class Identifier:
             best = int(h.argmin())
             # the posterior of an excerpt of 64 characters at most: whole texts would all give 1
             odds = np.exp((h[best] - h) * min(n, 64))
-            out.append((self.languages[best], float(1 / odds.sum()), float(h[best]), bool(h[best] > self.bound[best] + self.spread[best] / np.sqrt(n))))
+            out.append((self.languages[best], float(1 / odds.sum()), float(h[best]), bool(h[best] > self.limit(best, n))))
         return out
 
 

@@ -307,6 +307,14 @@ def test_kneser_ney_is_a_distribution_and_unknown_text_is_rejected(spark):
     assert model.identify([long])[0][0] == "a"
 
 
+def test_documents_in_a_language_left_out_are_rejected(spark):
+    df = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    for left in ("en", "fr", "de", "es"):
+        model = langid.learned_from(df.where(df.lang != left))
+        rows = langid.identify(df.where(df.lang == left), model).collect()
+        assert sum(r.rejected for r in rows) >= 0.95 * len(rows), left
+
+
 # packing
 
 
