@@ -2,12 +2,12 @@
 
 The lexicon has the terms whose document frequency lies in a band, so whose
 inverse document frequency is neither low (words of the language) nor high
-(names and slips). A random hash deals its terms into ``SLOTS`` slots, of
-which ``SUBSETS`` are subsets of their own. For each subset a document's
-distinct terms in it are sorted and hashed; the fingerprint is the list of
-these hashes, and the likeness of two is the share of equal ones among the
-subsets that either document has terms in. A document with no term in any
-subset has its whole text's hash, and is like its equals alone.
+(names and slips). A random hash deals all its terms into ``SUBSETS`` subsets.
+For each subset a document's distinct terms in it are sorted and hashed; the
+fingerprint is the list of these hashes, and the likeness of two is the share
+of equal ones among the subsets that either document has terms in. A document
+with no term in the band has its whole text's hash, and is like its equals
+alone.
 
 At most mean terms a document / ``RARE`` terms can be in the band, whatever the
 number of documents: that bounds the lexicon, which is broadcast under
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import cut, documents, let, pick
 
-RARE, COMMON, SLOTS, SUBSETS, BROADCAST = 0.002, 0.2, 128, 64, 1 << 20
+RARE, COMMON, SUBSETS, BROADCAST = 0.002, 0.2, 64, 1 << 20
 _BREAK = r"[\s\p{Punct}]+"
 
 
@@ -35,8 +35,8 @@ def lexicon(texts: DataFrame, rare: float = RARE, common: float = COMMON) -> Dat
     counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = texts.count()
     band = counts.where((F.col("term") != "") & (F.col("df") >= max(2.0, rare * n)) & (F.col("df") <= common * n))
-    slot = F.pmod(F.xxhash64("term", F.lit(SLOTS)), F.lit(SLOTS)).cast("int")
-    band = band.select("term", slot.alias("slot")).where(F.col("slot") < SUBSETS)
+    slot = F.pmod(F.xxhash64("term", F.lit(SUBSETS)), F.lit(SUBSETS)).cast("int")
+    band = band.select("term", slot.alias("slot"))
     return cut(band.unionAll(texts.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("slot"))), "lexicon")
 
 

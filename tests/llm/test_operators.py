@@ -272,6 +272,13 @@ def test_imatch_equals_brute_force(spark, monkeypatch, broadcast):
     assert got[3].fingerprint == got[7].fingerprint
 
 
+def test_every_term_of_the_band_is_in_a_subset(spark):
+    texts = [f"word{i % 50} common{i % 20}" for i in range(200)]
+    slots = {r.term: r.slot for r in imatch.lexicon(frame(spark, enumerate(texts)).select("text"), 0.02, 0.5).collect() if r.term}
+    assert set(slots) == plain_imatch(texts, 0.02, 0.5)[1] and all(0 <= s < imatch.SUBSETS for s in slots.values())
+    assert not any(r.fingerprint.startswith("text:") for r in imatch.fingerprints(frame(spark, enumerate(texts)), rare=0.02, common=0.5).collect())
+
+
 # language
 
 
