@@ -358,6 +358,17 @@ def test_encoder_equals_the_library(spark):
         assert ours.encode(text) == reader.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    reader, ours = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y ", "<|endoftext| > <|endoftext", "it's <|endoftext|>'s é", ""]
+    want = [reader.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ours.ids(t) for t in texts] == want and want[0] == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pieces(frame(spark, enumerate(texts))).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(b"".join(k.to_bytes(4, "little") for k in [*x, 1]))) for i, x in enumerate(want)}
+
+
 def test_texts_are_encoded_in_chunks():
     ours = packing.encoder(packing.default_vocabulary())
     for text in ("a b  c\n d 'ere it's  ", "word " * 50, " x", "naïve 😀 é  \t z", "one  two   three"):
