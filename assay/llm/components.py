@@ -24,11 +24,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now
         before = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that Spark sees its size and may split a hub's edges over tasks
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = cut(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(least)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         then = cut(moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(now)
         discard(large)
+        discard(least)
         now = then

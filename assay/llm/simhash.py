@@ -10,9 +10,10 @@ blocks out. Pairs in a cell pass the Manhattan bound, then the exact distance.
 Cells are sparse: 28 of them hash some 36 random bits each, so the number of
 chance pairs stays far under the number of documents. Cells with more than
 ``crowd`` distinct fingerprints (families of near copies) are never paired:
-their members emit the 65 points within one bit, and all that share a point
-are linked to the least of them. Two fingerprints within two bits always share
-such a point, so nothing is lost, and the work is linear in the members.
+their members emit the points within half the radius (65 of one bit), and all that
+share a point are linked to the least of them. Two fingerprints within the
+radius always share such a point, so nothing is lost, and the work is linear in
+the members.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.common import cut, documents, pick
@@ -71,87 +72,117 @@ def _add(shingles: Iterable[bytes], n: int, ones: np.ndarray) -> int:
     return n
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype="<u8")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, h0, h1, fp): id, two hashes of id and text that tell rows apart, and the signed 64 bits of the fingerprint."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x.as_py(), words) for x in batch.column("text")], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h0", "h1")), pa.array(found.view("<i8"))], names=["doc_id", "h0", "h1", "fp"])
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed 64 bits of each document's fingerprint."""
-    docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), *_hashes("doc_id", "text"), F.col("text").cast("string"))
+    return docs.mapInArrow(run, "doc_id long, h0 long, h1 long, fp long")
 
 
-def near_links(fps: DataFrame, crowd: int = 64) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b) that connect all within two differing bits."""
+def _hashes(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes of a row's id and text; they never are null."""
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    blank = key.isNull().cast("int") + text.isNull().cast("int") * 2
+    return [F.xxhash64(F.lit(k), blank, key, text).alias(f"h{k}") for k in range(2)]
+
+
+def near_links(fps: DataFrame, crowd: int = 64, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints (fp) to links (a, b) that connect all within ``radius`` differing bits (0 to 4)."""
+    if not 0 <= radius <= 4:
+        raise ValueError("the grid takes radii from 0 to 4")
     mask = F.lit(_LOW_BITS)
     high = F.shiftrightunsigned("fp", 1)
     both, any_ = high.bitwiseAND(F.col("fp")).bitwiseAND(mask), high.bitwiseOR(F.col("fp")).bitwiseAND(mask)
     # each segment's count in unary (00, 01, 11): the Manhattan distance is then the bit count of an xor
     points = fps.select("fp", F.shiftleft(both, 1).bitwiseOR(any_).alias("at"))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = [signed(sum(0xFF << (64 // BLOCKS * b) for b in kept)) for kept in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+    masks = [signed(sum(0xFF << (64 // BLOCKS * b) for b in kept)) for kept in combinations(range(BLOCKS), BLOCKS - radius)]
     cells = points.select("fp", "at", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("k", "mask"))
     cells = cells.select("k", F.col("at").bitwiseAND(F.col("mask")).alias("cell"), "fp", "at")
     shared = cut(cells.groupBy("k", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("top")).where("n > 1"), "cells")
 
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("top").alias("b")).where(apart <= RADIUS)
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("top").alias("b")).where(apart <= radius)
     crowded = cut(cells.join(shared.where("n > 2").select("k", "cell", "n"), ["k", "cell"]), "crowded")
     few = crowded.where(f"n <= {crowd}")
     left, right = (few.select("k", "cell", F.col("fp").alias(f), F.col("at").alias(p)) for f, p in (("a", "p"), ("b", "q")))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS) & (apart <= RADIUS)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius) & (apart <= radius)
     more = left.join(right, ["k", "cell"]).where(near).select("a", "b")
 
     many = crowded.where(f"n > {crowd}").select("fp").distinct()
-    flips = F.array(*[F.lit(signed(x)).cast("long") for x in (0, *(1 << i for i in range(64)))])
+    flips = F.array(*[F.lit(signed(sum(1 << i for i in x))).cast("long") for n in range(-(-radius // 2) + 1) for x in combinations(range(64), n)])
     ball = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     heads = ball.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
-    stars = ball.join(heads, "point").select("a", F.col("fp").alias("b")).where("a <> b").where(apart <= RADIUS)
+    stars = ball.join(heads, "point").select("a", F.col("fp").alias("b")).where("a <> b").where(apart <= radius)
     return pairs.unionAll(more).unionAll(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row.
+def _components(docs: DataFrame, crowd: int, radius: int) -> DataFrame:
+    """Written fingerprints to (fp, n, first, linked): rows that have it, and the first row (id, hashes) of all that it is linked with.
 
-    ``component_id`` is the least id reachable over links of at most two
-    differing bits. Null and wordless texts have fingerprint 0 and link like
-    any other. Null ids get their component's least id, null if it has none.
-    Repeated rows each come out. Copies share one fingerprint and are handled
-    as one, so a group of any size costs one row in the join. No rows give
-    none. Columns other than the two named are not read.
+    Fingerprints are distinct here, so a group of copies of any size costs one
+    row in the joins. Rows are ordered by id, nulls last, then by hashes.
     """
-    docs = cut(fingerprints(df, id_col, text_col), "fingerprints")
-    groups = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
-    stars = connected_components(near_links(groups.select("fp"), crowd))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "h0", "h1")).alias("first")
+    groups = cut(docs.groupBy("fp").agg(first, F.count("*").alias("n")), "groups")
+    stars = connected_components(near_links(groups.select("fp"), crowd, radius))
     nodes = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    nodes = nodes.join(groups.select("fp", "least"), "fp")
-    roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = nodes.join(roots, "root").select("fp", "component_id")
+    nodes = cut(nodes.join(groups.select("fp", "first"), "fp"), "nodes")
+    roots = cut(nodes.groupBy("root").agg(F.min("first").alias("of_all")), "roots")
+    linked = nodes.join(roots, "root").select("fp", "of_all")
+    return groups.join(linked, "fp", "left").select("fp", "n", F.coalesce("of_all", "first").alias("first"), F.col("of_all").isNotNull().alias("linked"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row.
+
+    ``component_id`` is the least id reachable over links of at most ``radius``
+    differing bits. Null, empty and wordless texts have fingerprint 0 and link
+    like any other. Null ids get their component's least id, null if it has
+    none. Repeated rows and rows of one id each come out. Very long texts are
+    read in parts, to the end. No rows give none. Columns other than the two
+    named are not read, so their names cannot clash.
+    """
+    docs = cut(fingerprints(df, id_col, text_col, words), "fingerprints")
     # only fingerprints of several rows need a lookup; the rest are their own components
-    known = cut(groups.join(linked, "fp", "left").where("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("known")), "components")
+    known = _components(docs, crowd, radius).where("n > 1 or linked").select("fp", F.col("first.doc_id").alias("component_id"), F.lit(True).alias("known"))
+    known = cut(known, "components")
     return docs.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are their component's least; all columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all columns: that of the least id.
 
-    Rows with a null id have no key to drop them by and stay. Of rows that
-    share one id, the one with the least text stays.
+    Rows are told apart by id and text, never by id alone: of different texts
+    under one id each is judged by its own group. Among rows of the least id
+    the one with the least hash of its text stays; a null id stays only where
+    its group has no other. Of rows equal in id and text the one whose JSON has
+    the least SHA-256 stays. Null, empty and wordless texts are one group. Very
+    long texts are read to the end. No rows give none. Names beginning with
+    ``__`` aside, no column's name can clash, and columns may have any type.
     """
-    found = cut(near_duplicates(docs, id_col, text_col), "near")
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    drop = cut(ids.where("c <> doc_id").select(F.col("doc_id").alias("__drop")), "drop")
-    kept = docs.join(drop, F.col(f"`{id_col}`").cast("long") == F.col("__drop"), "left_anti")
-    again = ids.where("n > 1 and c = doc_id").select(F.col("doc_id").alias("__again"))
+    found = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    known = cut(_components(found, crowd, radius).where("n > 1 or linked").select("fp", "first"), "components")
+    stays = (F.col("h0") == F.col("first.h0")) & (F.col("h1") == F.col("first.h1"))
+    rows = found.join(known, "fp").select("h0", "h1", stays.alias("stays"))
+    rows = cut(rows.groupBy("h0", "h1", "stays").agg(F.count("*").alias("n")), "rows")
+    keys = ["__h0", "__h1"]
+    keyed = docs.withColumns(dict(zip(keys, _hashes(id_col, text_col), strict=True)))
+    named = lambda df: df.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"))
+    kept = keyed.join(named(rows.where("not stays")), keys, "left_anti")
+    again = cut(named(rows.where("stays and n > 1")), "again")
     if again.isEmpty():
-        return kept
-    again = cut(again, "again")
-    key = F.col(f"`{id_col}`").cast("long")
-    once = kept.join(again, key == F.col("__again"), "left_anti")
-    one = kept.join(again, key == F.col("__again"), "left_semi").select(key.alias("__id"), F.struct(F.col(f"`{text_col}`").alias("__text"), F.struct("*").alias("__row")).alias("__x"))
-    return once.unionByName(one.groupBy("__id").agg(F.min("__x").alias("__x")).select("__x.__row.*"))
+        return kept.drop(*keys)
+    once = kept.join(again, keys, "left_anti").drop(*keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, keys, "left_semi").select(*keys, row.alias("__row"))
+    one = one.groupBy(*keys).agg(F.min_by("__row", F.sha2(F.to_json("__row"), 256)).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
