@@ -1,12 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model per language, learned from a bounded sample of labelled rows: of the
-``buckets`` hash buckets of each language the row with the least id, for at
-most ``max_languages`` languages. A model is kept as sorted arrays of 64-bit
-n-gram hashes with probabilities and back-off weights. All n-grams of the
-highest order that any language has seen are scored for every language once,
-so that most positions of a text need one lookup; only n-grams that no
-language has seen go down the orders. Every character of a text is scored.
+One model per language, for every label that has rows, learned from a bounded
+sample: of the ``buckets`` hash buckets of each language the row with the least
+id, and of its text at most ``row_chars`` code points from a place that a hash
+of the id gives (fewer where languages are so many that all would exceed
+``chars``). A model is kept as sorted arrays of 64-bit n-gram hashes with
+probabilities and back-off weights. N-grams of the highest order that any
+language has seen are scored for every language once (the commonest ``TABLE``
+scores of them), so that most positions of a text need one lookup; the others
+go down the orders, to the same values. Every character of a text is scored,
+long texts in slices that overlap by the context an n-gram needs, so that the
+cuts change nothing.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm.common import documents, pick
+from assay.llm.common import cut, documents, pick
 
-ORDER, BUCKETS, MAX_LANGUAGES, DISCOUNT, SPACE, SLICE = 4, 256, 100, 0.75, 32, 1 << 17
+ORDER, BUCKETS, ROW_CHARS, CHARS, DISCOUNT, SPACE, SLICE, TABLE = 4, 256, 1 << 14, 1 << 25, 0.75, 32, 1 << 17, 1 << 26
+#: Rows of the sample's ids that are broadcast at most; beyond that they are joined by shuffle.
+BROADCAST = 1 << 20
 #: Calibration of rejection: excerpts of a text for each length, log2 of the longest, fewest that a quantile is taken of, and the quantiles.
 EXCERPTS, LONGEST, FEWEST, OWN, OTHERS = 8, 12, 20, 0.995, 0.05
 UNKNOWN = "und"
@@ -164,7 +170,9 @@ class Identifier:
         self.table = None
         if every:
             columns = [np.concatenate(x) for x in zip(*every.values(), strict=True)]
-            _, first = np.unique(columns[order], return_index=True)
+            _, first, texts = np.unique(columns[order], return_index=True, return_counts=True)
+            if len(first) > (most := max(1, TABLE // len(self.languages))):
+                first = first[np.argsort(-texts, kind="stable")[:most]]
             columns = [x[first] for x in columns]
             scores = self._all(columns[: order + 1], columns[order + 1 :])
             self.table = Sorted(columns[order], scores)
@@ -180,15 +188,14 @@ class Identifier:
         return np.stack([np.log(np.maximum(m.probability(grams, contexts), 1e-12)) for m in self.models], axis=1).astype(np.float32)
 
     def _scored(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For arrays of code points: the log-likelihood of every character scored by language, and how many each array has."""
-        clean = [_normal(p, self.order) for p in parts]
-        sizes = np.array([len(c) - self.order + 1 for c in clean])
-        codes = np.concatenate(clean)
-        ends = np.cumsum([len(c) for c in clean])
+        """For normal text after its context: the log-likelihood of every character scored by language, and how many each array has."""
+        sizes = np.array([len(c) - self.order + 1 for c in parts])
+        codes = np.concatenate(parts)
+        ends = np.cumsum([len(c) for c in parts])
         hashes = _grams(codes, self.order)
-        real = np.ones(len(codes), bool)  # not the padding
+        real = np.ones(len(codes), bool)  # not the context
         for i in range(self.order - 1):
-            real[ends - [len(c) for c in clean] + i] = False
+            real[ends - [len(c) for c in parts] + i] = False
         top = hashes[self.order][real]
         at = self.table.find(top)
         scores = self.table.values[at]
@@ -201,7 +208,7 @@ class Identifier:
         return scores, sizes
 
     def totals(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each array of code points: the log-likelihood by language, and the number of characters scored."""
+        """For each array of normal text after its context: the log-likelihood by language, and the number of characters scored."""
         scores, sizes = self._scored(parts)
         out = np.zeros((len(parts), len(self.languages)))
         starts, some = np.cumsum(sizes) - sizes, sizes > 0
@@ -211,7 +218,7 @@ class Identifier:
 
     def _excerpts(self, codes: np.ndarray) -> list[np.ndarray]:
         """The cross-entropies by language of up to ``EXCERPTS`` excerpts of 2^k characters, for each k up to ``LONGEST``."""
-        scores, sizes = self._scored([codes[:SLICE]])
+        scores, sizes = self._scored([_normal(codes, self.order)])
         sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores, axis=0, dtype=np.float64)])
         out = []
         for k in range(LONGEST + 1):
@@ -246,9 +253,9 @@ class Identifier:
                     best = h.argmin(axis=1)
                     for j in np.unique(best):
                         other[j][k].append(h[best == j, j])
-            totals, sizes = self.totals(apart)
+            totals, sizes = self.totals([_normal(c, self.order) for c in apart])
             middle[i] = -totals[:, i].sum() / max(1, sizes.sum())
-            totals, sizes = self.totals([np.random.default_rng(0).permutation(np.concatenate(apart)[:SLICE])])
+            totals, sizes = self.totals([_normal(np.random.default_rng(0).permutation(np.concatenate(apart)), self.order)])
             mixed[i] = -totals[0, i] / max(1, sizes[0])
         for i in range(count):
             most = far = limit = np.inf
@@ -284,8 +291,9 @@ class Identifier:
             codes = code_points(text.as_py() if isinstance(text, pa.Scalar) else text)
             heard[i] = bool(letters[codes].any())
             if heard[i] and self.languages:
-                for at in range(0, len(codes), SLICE):
-                    parts.append(codes[at : at + SLICE]), of.append(i)
+                clean = _normal(codes, self.order)
+                for at in range(0, len(clean) - self.order + 1, SLICE):
+                    parts.append(clean[at : at + SLICE + self.order - 1]), of.append(i)
                     held += len(parts[-1])
                     if held >= SLICE:
                         score()
@@ -305,18 +313,24 @@ class Identifier:
         return out
 
 
-def learn(df: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES, order: int = ORDER) -> Identifier:
-    """``df``: doc_id, text, lang of the rows to learn from; at most ``buckets * max_languages`` of them reach the driver.
+def learn(df: DataFrame, buckets: int = BUCKETS, row_chars: int = ROW_CHARS, chars: int = CHARS, order: int = ORDER) -> Identifier:
+    """``df``: doc_id, text, lang of the rows to learn from.
 
-    Rows without id or language teach nothing; of rows that share both, the one
-    with the least text counts.
+    At most ``buckets`` rows a language reach the driver, and of them at most
+    about ``chars`` code points together, however many languages there are (but
+    256 a row are always taken). Rows without id or language teach nothing; of
+    rows that share both, the one with the least text counts.
     """
     named = df.where("lang is not null and doc_id is not null")
-    top = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    ids = named.join(F.broadcast(top), "lang", "left_semi").groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
-    rows = named.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    ids = named.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
+    ids = cut(ids, "sample")
+    size = ids.agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("languages")).first()
+    width = max(256, min(row_chars, chars // max(1, size.languages * buckets)))
+    rows = named.join(F.broadcast(ids) if size.rows <= BROADCAST else ids, ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    spare = F.greatest(F.char_length("text") - width, F.lit(0)).cast("long") + 1
+    rows = rows.select("lang", "doc_id", F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), spare) + 1).cast("int"), F.lit(width)).alias("text"))
     samples: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+    for row in sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id)):
         samples.setdefault(row.lang, []).append(row.text or "")
     return Identifier({k: v for k, v in samples.items() if any(x.strip() for x in v)}, order)
 
@@ -324,9 +338,11 @@ def learn(df: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUA
 def identify(df: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) for each row.
 
-    ``und`` with score 0 where the text is null or has no letter, or no
-    language was learned. Repeated rows each come out; null ids stay null; no
-    rows give none. Columns other than the two named are not read.
+    ``und`` with score 0 where the text is null, empty or has no letter, or no
+    language was learned. Languages that are equally likely give the first by
+    name. Very long texts are read to the end. Repeated rows each come out,
+    with equal results; null ids stay null; no rows give none. Columns other
+    than the two named are not read, so their names cannot clash.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -353,7 +369,13 @@ def learned_from(df: DataFrame) -> Identifier:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected; all columns. Null texts and those without letters are rejected, and no others where nothing could be learned."""
+    """The documents that aren't rejected; all columns, in any type and under any name.
+
+    Null and empty texts and those without letters are rejected, and no others
+    where nothing could be learned. Repeated rows are judged alike and each
+    stays or goes; rows with null ids, languages or sources are judged by their
+    text. Very long texts are read to the end. No rows give none.
+    """
     model = learned_from(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
