@@ -13,6 +13,8 @@ inverted over at most ``TERMS`` terms, beyond which 52 bits can't reach.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, tempera
 
     Sizes are characters. Without ``weights`` a source's target share goes as
     its size to the power ``temperature``. With them, a source that has none
-    gets no copies; the key None stands for rows without a source.
+    gets no copies; the key None stands for rows without a source. Weights need
+    not add up to 1, and those of sources without rows don't count; where none
+    is left, nothing is copied. Negative and unbounded weights are errors.
     """
+    if bad := [k for k, v in (weights or {}).items() if not 0 <= v < math.inf]:
+        raise ValueError(f"weights must be finite and not negative: {bad}")
     sizes = df.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.sum(F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)) + 1).cast("double").alias("size"))
     sizes = cut(sizes, "sizes")
     weight = F.pow("size", F.lit(temperature))
@@ -43,6 +49,8 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, tempera
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
     wanted = sizes.withColumn("weight", weight)
     total = wanted.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes")).first()
+    if not total.weights:  # no rows, or no source with a weight
+        return wanted.select("source", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("parts"), F.array().cast("array<double>").alias("thresholds")).where("false")
     rate = F.col("weight") / F.lit(total.weights).cast("double") * F.lit(total.sizes).cast("double") / F.col("size")
     wanted = wanted.withColumn("rate", rate).where("rate > 0").withColumn("parts", F.ceil(F.col("rate") / STEP).cast("long")).withColumn("mean", F.col("rate") / F.col("parts"))
     first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("c"))
@@ -58,9 +66,11 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, tempera
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "shuffle_key") -> DataFrame:
     """All columns of ``df`` with ``copy_col`` (from 0) and ``key_col``, repeated to the target weights, in shuffled order.
 
-    Columns of ``df`` of those two names are replaced. Repeated rows of one id
-    get equal counts; a null id hashes as the text 'null'. Null sources are a
-    source of their own, null and empty texts have size 1. No rows give none.
+    Columns of ``df`` of those two names are replaced; no other can clash.
+    Repeated rows of one id get equal counts, and their copies tie in the order;
+    a null id hashes as the text 'null'. Null sources are a source of their own,
+    null and empty texts have size 1, very long ones their whole length. No rows
+    give none.
     """
     wanted = cut(rates(df, weights, temperature, source_col, text_col), "rates")
     wanted = wanted.select(F.col("source").alias("__source"), "parts", "thresholds")
