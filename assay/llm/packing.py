@@ -34,61 +34,68 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # Fixed value: how byte-level BPE splits words
+
+
 class Encoder:
     """Token ids of a byte-level BPE file, as the ``tokenizers`` library gives them without adding special tokens.
 
-    ``encode`` takes its text as plain, ``ids`` finds the file's added tokens
-    in it, as the library does by default. The same vocabulary and split pattern run through ``tiktoken``, which is
-    some four times faster; what it can't take goes to ``tokenizers`` itself.
+    The same vocabulary and split pattern run through ``tiktoken``, which is
+    some four times faster. The file's added tokens are found in a text first
+    and have their own ids, as in the library. A file that isn't plain
+    byte-level BPE, and a text that ``tiktoken`` can't take, go to
+    ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
-        import tiktoken
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {x["content"] for x in spec["added_tokens"]}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte[c] for c in word): n for word, n in spec["model"]["vocab"].items() if word not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         added = sorted(spec["added_tokens"], key=lambda x: -len(x["content"]))
         self.added = {x["content"]: x["id"] for x in added}
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
-        #: whether added tokens stand for themselves alone; else the library finds them
-        self.simple = not spec["normalizer"] and not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added)
-        self.path, self.fast, self.exact, self.default = path, tiktoken.Encoding("assay", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), None, None
+        self.path, self.library, self.fast = path, None, None
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if usual and plain and not spec["normalizer"] and not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            self.fast = self._fast(model["vocab"])
+
+    def _fast(self, vocabulary: dict[str, int]) -> object:
+        import tiktoken
+
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+        ranks = {bytes(byte[c] for c in word): n for word, n in vocabulary.items() if word not in self.added}
+        return tiktoken.Encoding("assay", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        """As the library's defaults give them: added tokens in the text have their own ids."""
+        if self.fast is None:
+            return self._slow(text)
         if not self.split or not self.split.search(text):
-            return self.encode(text)
-        if not self.simple:
-            if self.default is None:
-                from tokenizers import Tokenizer
-
-                self.default = Tokenizer.from_file(self.path)
-            return self.default.encode(text, add_special_tokens=False).ids
+            return self._part(text)
         out: list[int] = []
         for part in self.split.split(text):
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out += self.encode(part)
+                out += self._part(part)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _part(self, text: str) -> list[int]:
+        """The ids of a text that holds no added token."""
         try:
             return self.fast.encode_ordinary(text)
         except BaseException as e:  # noqa: BLE001  a Rust panic isn't an Exception
             if isinstance(e, KeyboardInterrupt | SystemExit):
                 raise
-            if self.exact is None:
-                from tokenizers import Tokenizer
+            return self._slow(text)
+
+    def _slow(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-                self.exact = Tokenizer.from_file(self.path)
-                self.exact.encode_special_tokens = True
-            return self.exact.encode(text, add_special_tokens=False).ids
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -112,13 +119,14 @@ def pieces(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     path = vocabulary or default_vocabulary()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoder(path).ids, 4 * window
+        tokens, size = encoder(path), 4 * window
         for batch in batches:
             ids, starts, lengths, sums, totals = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 total, rest = 0, b""
-                for part in chunks(text.as_py() or ""):
-                    rest += np.array(encode(part), dtype="<u4").tobytes()
+                text = text.as_py() or ""
+                for part in chunks(text) if tokens.fast else [text]:
+                    rest += np.array(tokens.ids(part), dtype="<u4").tobytes()
                     full = len(rest) // size * size
                     for at in range(0, full, size):
                         ids.append(doc), starts.append(total), lengths.append(window), sums.append(zlib.crc32(rest[at : at + size]))
@@ -189,9 +197,11 @@ def pack(cuts: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
 def pack_documents(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are documents of ``end_id`` alone. Repeated rows are
-    documents of their own; null ids stay null. No rows give none. Columns
-    other than the two named are not read.
+    Null and empty texts are documents of ``end_id`` alone. Very long texts are
+    encoded in parts, to the end. Repeated rows are documents of their own;
+    null ids stay null. Pieces of equal length are packed by id, start and
+    CRC-32. No rows give none. Columns other than the two named are not read,
+    so their names cannot clash.
     """
     return pack(cut(pieces(df, vocabulary, window, end_id, id_col, text_col), "pieces"), window, group)
 
