@@ -7,19 +7,21 @@ end of the last match or at the edge of a run; each still matches exactly what
 the plain pattern does, in linear time.
 
 Bootstrapped extraction: a mention is a run of words with a digit or an at
-sign. Mentions that hold a base span are seeds of its kind, and the words
-around a mention are its patterns. In each round a pattern's confidence for a
-kind is the share of its distinct instances that are known to be of that kind
-(patterns with fewer than ``support`` of them count for nothing), an unknown
-instance's score is the mean over its patterns, and those that reach
-``trust`` become known. Only instances that look like their kind can be
-learned. The graph is (pattern, instance) edges in tables; nothing of it
-reaches the driver but the number of new instances.
+sign. Mentions that hold a base span are seeds of its kind, those that match
+the seed pattern of a further kind (``SECRETS``) are seeds of that, and the
+words around a mention are its patterns. In each round a pattern's confidence
+for a kind is the share of its distinct instances that are known to be of that
+kind (patterns with fewer than ``support`` of them count for nothing), an
+unknown instance's score is the mean over its patterns, and those that reach
+``trust`` become known, until a round finds nothing new. Only instances that
+look like their kind can be learned. The graph is (pattern, instance) edges in
+tables; nothing of it reaches the driver but whether there are new instances.
 """
 
 from __future__ import annotations
 
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from assay.llm.common import cut, documents, let, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, TRUST, BLOCK = 3, 5, 0.8, 64
+SUPPORT, TRUST, BLOCK, WINDOW = 5, 0.8, 64, 80
+#: A further kind: what its seeds look like, and what can be learned as one.
+SECRETS = {"secret": (r"^[0-9a-f]{32,}$", r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z+/_=-]{20,}$")}
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -36,6 +40,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+Kinds = dict[str, tuple[str, str]]
 MENTION = r"(?<!\S)(?=\S*?[0-9@])\S++(?:\x20(?=\S*?[0-9@])\S++)*+"
 
 
@@ -90,7 +95,7 @@ _SPANS = "array<struct<start:bigint,end:bigint,value:string,left:string,right:st
 
 
 def _spans(text: Column, pattern: str, context: bool) -> Column:
-    """All matches with code point offsets; with ``context``, also up to 80 characters on both sides."""
+    """All matches with code point offsets; with ``context``, also the gaps to the matches on both sides, or as much of them as holds their nearest words."""
     of = F.lit(pattern)
 
     def build(found: Column, gaps: Column) -> Column:
@@ -100,7 +105,7 @@ def _spans(text: Column, pattern: str, context: bool) -> Column:
 
         def span(x: Column) -> Column:
             start = x["s"] + F.char_length(x["g"])
-            sides = [F.right(x["g"], F.lit(80)), F.left(x["h"], F.lit(80))] if context else [F.lit(None).cast("string")] * 2
+            sides = [_near(x["g"], F.right), _near(x["h"], F.left)] if context else [F.lit(None).cast("string")] * 2
             return F.struct(start.alias("start"), (start + F.char_length(x["m"])).alias("end"), x["m"].alias("value"), sides[0].alias("left"), sides[1].alias("right"))
 
         return F.transform(pieces, span)
@@ -111,6 +116,17 @@ def _spans(text: Column, pattern: str, context: bool) -> Column:
     return let(F.regexp_extract_all(text, of, F.lit(0)), some)
 
 
+def _words(gap: Column) -> Column:
+    """The words of a gap: in lower case, letters and a few signs only."""
+    return F.filter(F.split(F.lower(F.regexp_replace(gap, r"[^\p{L}\p{M}\s:=#]+", "")), r"\s+"), lambda w: w != "")
+
+
+def _near(gap: Column, end: Callable[[Column, Column], Column]) -> Column:
+    """The end of a gap that faces the match: a few characters where they hold three words, of which two then are whole, else all of it."""
+    part = end(gap, F.lit(WINDOW))
+    return F.when(F.size(_words(part)) >= 3, part).otherwise(gap)
+
+
 def _found(df: DataFrame, text: str, mentions: bool) -> DataFrame:
     """``df`` with the base spans of column ``text`` by kind, and its mentions. Each is skipped where a character that it needs is absent."""
     t = F.col(text)
@@ -124,79 +140,122 @@ def _found(df: DataFrame, text: str, mentions: bool) -> DataFrame:
     return df.drop("__digits")
 
 
-def _looks_like(kind: Column, value: Column) -> Column:
+def _looks_like(kind: Column, value: Column, extra: Kinds) -> Column:
     """Whether an instance has the general shape of its kind."""
     n = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    return (
-        F.when(kind == "email", value.rlike(r"^[^@\s]+(?:@|\(at\)|\[at\])[^@\s]+$"))
-        .when(kind == "ip", value.rlike(r"^[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}$"))
-        .when(kind == "card", n.between(12, 19) & value.rlike(r"^[0-9][0-9\x20.-]*$"))
-        .when(kind == "phone", n.between(6, 15) & value.rlike(r"^[+(]?[0-9][0-9\x20()./-]*$"))
-    )
+    shapes = {
+        "email": value.rlike(r"^[^@\s]+(?:@|\(at\)|\[at\])[^@\s]+$"),
+        "ip": value.rlike(r"^[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}$"),
+        "card": n.between(12, 19) & value.rlike(r"^[0-9][0-9\x20.-]*$"),
+        "phone": n.between(6, 15) & value.rlike(r"^[+(]?[0-9][0-9\x20()./-]*$"),
+    } | {k: value.rlike(shape) for k, (_, shape) in extra.items()}
+    out = F.lit(False)
+    for name, shape in shapes.items():
+        out = F.when(kind == name, shape).otherwise(out)
+    return out
 
 
 def _patterns(left: Column, right: Column) -> Column:
     """The lexical patterns of a mention: the two words before it, the word before and the one after, and the two after."""
-    clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\s:=#]+", ""))
-    words = lambda c: F.filter(F.split(clean(c), r"\s+"), lambda w: w != "")
-    # text cut at 80 characters may begin or end within a word; two whole words are left where there are three
-    before, after = words(left), words(right)
     last = lambda a, i: F.coalesce(F.get(a, F.size(a) - i), F.lit("^"))
     first = lambda a, i: F.coalesce(F.get(a, F.lit(i)), F.lit("$"))
-    return F.array(F.concat_ws(" ", last(before, 2), last(before, 1), F.lit("_")), F.concat_ws(" ", last(before, 1), F.lit("_"), first(after, 0)), F.concat_ws(" ", F.lit("_"), first(after, 0), first(after, 1)))
 
+    def of(x: Column) -> Column:
+        before, after = x["b"], x["a"]
+        return F.array(F.concat_ws(" ", last(before, 2), last(before, 1), F.lit("_")), F.concat_ws(" ", last(before, 1), F.lit("_"), first(after, 0)), F.concat_ws(" ", F.lit("_"), first(after, 0), first(after, 1)))
 
-def _bootstrap(mentions: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
-    """``mentions`` (key, start, end, kind or null, value, patterns) to (key, start, end, kind) of those newly known."""
-    mentions = cut(mentions, "mentions")
+    return let(F.struct(_words(left).alias("b"), _words(right).alias("a")), of)
+
+
+_BEFORE, _AFTER = r"^[^0-9A-Za-z+(]+", r"[^0-9A-Za-z)]+$"
+
+
+def _value(mention: Column) -> Column:
+    """A mention's text without the signs around it."""
+    return F.regexp_replace(F.regexp_replace(mention, _BEFORE, ""), _AFTER, "")
+
+
+def _kind(base: Column, mention: Column, extra: Kinds) -> Column:
+    """The kind of the first base span that overlaps a mention, or the further kind whose seed it is."""
+    inside = F.filter(base, lambda b: (b["start"] < mention["end"]) & (b["end"] > mention["start"]))
+    other = F.lit(None).cast("string")
+    for name, (seed, _) in extra.items():
+        other = F.when(_value(mention["value"]).rlike(seed), F.lit(name)).otherwise(other)
+    return F.coalesce(F.get(inside, F.lit(0))["kind"], other)
+
+
+def bootstrap(mentions: DataFrame, extra: Kinds | None = None, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """Written ``mentions`` (value, kind or null, patterns) to (value, learned): the instances newly known, and as what.
+
+    Of kinds that reach ``trust`` the one with the largest score, number of
+    patterns and then name counts. Rounds end when one learns nothing, which
+    they must as instances are finite. No mentions give no rows.
+    """
+    extra = extra or {}
+    kinds = [*KINDS, *extra]
     edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "kind")
     # what one pattern sees of one value, however often: the kind of its seeds, or none
-    edges = cut(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
-    known, learned = edges, None
-    for _ in range(rounds):
-        seen = known.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum((F.col("kind") == k).cast("long")).alias(k) for k in KINDS])
-        top = F.greatest(*[F.struct(F.coalesce(F.col(k), F.lit(0)).alias("n"), F.lit(k).alias("kind")) for k in KINDS])
+    known = cut(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
+    learned = None
+    while True:
+        seen = known.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+        top = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in kinds])
         scored = seen.select("pattern", "n", top.alias("top")).where(F.col("top.n") >= support)
-        scored = scored.select("pattern", F.col("top.kind").alias("of"), (F.col("top.n") / F.col("n")).alias("confidence"))
-        hopes = known.where("kind is null").join(scored, "pattern").where(_looks_like(F.col("of"), F.col("value")))
-        new = hopes.groupBy("value", "of").agg(F.avg("confidence").alias("score"), F.count("*").alias("patterns")).where(F.col("score") >= trust)
+        # written, so that Spark sees its size and may split common patterns over tasks
+        scored = cut(scored.select("pattern", F.col("top.kind").alias("of"), (F.col("top.n") / F.col("n")).alias("confidence")), "patterns")
+        hopes = known.where("kind is null").join(scored, "pattern").where(_looks_like(F.col("of"), F.col("value"), extra))
+        # sums of rounded parts don't depend on their order
+        new = hopes.groupBy("value", "of").agg((F.sum(F.round(F.col("confidence") * (1 << 40)).cast("long")) / F.count("*") / float(1 << 40)).alias("score"), F.count("*").alias("patterns")).where(F.col("score") >= trust)
         new = cut(new.groupBy("value").agg(F.max(F.struct("score", "patterns", "of")).alias("best")).select("value", F.col("best.of").alias("learned")), "learned")
         if new.isEmpty():
-            break
-        learned = new if learned is None else learned.unionAll(new)
+            return new if learned is None else learned
+        learned = new if learned is None else cut(learned.unionAll(new), "learned")
         known = cut(known.join(new, "value", "left").select("pattern", "value", F.coalesce("kind", "learned").alias("kind")), "graph")
-    unknown = mentions.where("kind is null")
-    if learned is None:
-        return unknown.where("false").select("key", "start", "end", "kind")
-    return unknown.join(learned, "value").select("key", "start", "end", F.col("learned").alias("kind"))
 
 
-def find_pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+def find_pii(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, extra: Kinds | None = None, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """The columns ``keep`` (all if None) with ``base`` and ``more``: arrays of (kind, start, end), offsets in code points.
 
     ``base`` has the exact matches by kind as listed, then start; ``more`` the
-    spans found by context, none of which overlaps a base span. Null and empty
-    texts have neither. Repeated rows each come out. No rows give none. Columns
-    named base and more are replaced.
+    spans of ``extra`` kinds and those found by context, by kind and start, none
+    of which overlaps a base span. ``extra`` maps a kind's name to the patterns
+    of its seeds and of what can be learned. Null and empty texts have neither.
+    Very long texts are read to the end. Repeated rows each come out, with equal
+    spans. No rows give none. Columns named base and more are replaced; no other
+    can clash.
     """
+    extra = extra or {}
+    kinds = [*KINDS, *extra]
     names = [c for c in (df.columns if keep is None else keep) if c not in ("base", "more")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text_col}`").alias("__t")).withColumn("__t", whole_text("__t"))
     rows = _found(rows, "__t", True).drop("__t").withColumn("__key", F.monotonically_increasing_id())
+    rows = rows.withColumn("__base", F.concat(*[F.transform(F.col(f"__{k}"), partial(_named, k)) for k in KINDS])).drop(*[f"__{k}" for k in KINDS])
+
+    def mention(m: Column) -> Column:
+        start = m["start"] + F.char_length(F.regexp_extract(m["value"], _BEFORE, 0))
+        return F.struct(start.alias("start"), (start + F.char_length(_value(m["value"]))).alias("end"), _kind(F.col("__base"), m, extra).alias("kind"), _value(m["value"]).alias("value"), _patterns(m["left"], m["right"]).alias("patterns"))
+
+    rows = rows.withColumn("__mentions", F.filter(F.transform("__mentions", mention), lambda m: m["value"] != ""))
+    # never null, so that each row is on one side
+    learnable = lambda m: F.exists(F.array(*map(F.lit, kinds)), lambda k: F.coalesce(_looks_like(k, m["value"], extra), F.lit(False)))
+    maybe = lambda m: F.when(m["kind"].isNull(), learnable(m)).otherwise(m["kind"].isin(*extra) if extra else F.lit(False))
+    rows = rows.withColumn("__hope", F.coalesce(F.exists("__mentions", maybe), F.lit(False)))
     rows = cut(rows, "spans")  # one pass over the texts; from here on the keys are fixed
 
-    base = F.concat(*[F.transform(F.col(f"__{k}"), partial(_named, k)) for k in KINDS])
-    of = rows.where(F.size("__mentions") > 0).select(F.col("__key").alias("key"), base.alias("base"), F.explode("__mentions").alias("m"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
-    trimmed = F.regexp_replace("m.value", r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$", "")
-    cut_off = F.char_length(F.regexp_extract("m.value", r"^[^0-9A-Za-z+(]+", 0))
-    start = F.col("m.start") + cut_off
-    mentions = of.select("key", start.alias("start"), (start + F.char_length(trimmed)).alias("end"), F.get(inside, F.lit(0))["kind"].alias("kind"), trimmed.alias("value"), _patterns(F.col("m.left"), F.col("m.right")).alias("patterns")).where("value <> ''")
-    more = _bootstrap(mentions, rounds, support, trust)
-    more = cut(more.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "start", "end", "kind"))).alias("more")), "more")
+    mentions = rows.where(F.size("__mentions") > 0).select(F.col("__key").alias("key"), F.explode("__mentions").alias("m")).select("key", "m.*")
+    mentions = cut(mentions, "mentions")
+    learned = bootstrap(mentions, extra, support, trust)
+    found = mentions.where("kind is null").join(learned, "value").select("key", "start", "end", F.col("learned").alias("kind"))
+    if extra:
+        found = found.unionAll(mentions.where(F.col("kind").isin(*extra)).select("key", "start", "end", "kind"))
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    more = cut(found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(order.alias("k"), "start", "end", "kind"))).alias("more")), "more")
     more = more.select(F.col("key").alias("__of"), F.transform("more", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("more"))
-    out = rows.join(more, F.col("__key") == F.col("__of"), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], base.alias("base"), F.coalesce("more", none).alias("more"))
+    out = lambda rows, more: rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in names], F.col("__base").alias("base"), more.alias("more"))
+    # rows without a mention that could have been learned take no part in the join
+    hopeful = rows.where("__hope").join(more, F.col("__key") == F.col("__of"), "left")
+    return out(rows.where("not __hope"), none).unionAll(out(hopeful, F.coalesce("more", none)))
 
 
 def _joined(spans: Column) -> Column:
@@ -209,11 +268,17 @@ def _by_kind(*arrays: str) -> Column:
     return F.concat(*[F.array_sort(F.filter(every, partial(_of_kind, k))) for k in KINDS])
 
 
-def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """All columns of ``docs``, each span in ``text_col`` replaced by its kind in capitals and brackets, ``size_col`` counted anew where that happened."""
+def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", extra: Kinds | None = None) -> DataFrame:
+    """All columns of ``docs``, each span in ``text_col`` replaced by its kind in capitals and brackets, ``size_col`` counted anew where that happened.
+
+    Spans that overlap become one mark, of the kind that starts first. Null and
+    empty texts stay as they are, as do those without spans. Very long texts are
+    masked to the end. Nulls in other columns stay, repeated rows each come out,
+    no rows give none, and no column's name can clash.
+    """
     packed = docs.select(F.struct("*").alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
     spans = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    found = find_pii(packed, "__text", keep=["__doc"]).select(F.col("__doc").alias("__row"), spans.alias("__spans"))
+    found = find_pii(packed, "__text", keep=["__doc"], extra=extra).select(F.col("__doc").alias("__row"), spans.alias("__spans"))
     text = F.col(f"__row.`{text_col}`").cast("string")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
