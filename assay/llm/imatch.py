@@ -2,17 +2,24 @@
 
 The lexicon has the terms whose document frequency lies in a band, so whose
 inverse document frequency is neither low (words of the language) nor high
-(names and slips). A random hash deals all its terms into ``SUBSETS`` subsets.
-For each subset a document's distinct terms in it are sorted and hashed; the
-fingerprint is the list of these hashes, and the likeness of two is the share
-of equal ones among the subsets that either document has terms in. A document
-with no term in the band has its whole text's hash, and is like its equals
-alone.
+(names and slips). Subset 0 is all of it, so that every term of the band
+counts. ``WIDTHS`` gives the random ones, each term being in each by a hash of
+its own: they overlap and get sparser, since large subsets tell whether two
+texts are equal and small ones how alike they are. The distinct terms of a
+document, as 57-bit hashes, are sorted within each subset and hashed together;
+the fingerprint is the list of these hashes, and the
+likeness of two is the share of equal ones among the subsets that either has
+terms in. A document with no term in the band has its whole text's hash, and is
+like its equals alone.
+
+Terms are runs of letters, marks and digits, by the blocks of Unicode that hold
+them. In scripts that don't part words they are all pairs of neighbouring
+characters, and the last of a run.
 
 At most mean terms a document / ``RARE`` terms can be in the band, whatever the
-number of documents: that bounds the lexicon, which is broadcast under
-``BROADCAST`` rows and joined by shuffle beyond. Texts are shuffled once by
-document; the terms of a document stay where its text is.
+number of documents; the lexicon is broadcast if it has at most ``BROADCAST``
+bytes and joined by shuffle beyond. Texts are shuffled once by document; under
+a broadcast the terms of a document stay where its text is.
 """
 
 from __future__ import annotations
@@ -20,24 +27,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import cut, documents, let, pick
+from assay.llm.common import cut, discard, documents, let, pick
 
-RARE, COMMON, SUBSETS, BROADCAST = 0.002, 0.2, 64, 1 << 20
-_BREAK = r"[\s\p{Punct}]+"
+RARE, COMMON, BROADCAST = 0.002, 0.2, 64 << 20
+#: Of 256 terms how many are in each random subset, on average.
+WIDTHS = [*[32] * 2, *[8] * 13, *[2] * 24, *[1] * 24]
+# Ranges, as Java finds the class of a character far more slowly than its place.
+_BREAK = r"[^a-z0-9\xc0-\u1fff\u2c00-\x{1efff}\x{20000}-\x{3ffff}]+"
+_CLOSE = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
+_SLOT, _HASH = 57, (1 << 57) - 1
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), _BREAK))
+    """The distinct terms of a text, and the empty term, which every text has."""
+
+    def of(lower: Column) -> Column:
+        pairs = F.concat(F.split(F.regexp_replace(lower, f"{_CLOSE}+", " "), _BREAK), F.regexp_extract_all(lower, F.lit(f"(?=({_CLOSE}{{1,2}})){_CLOSE}"), F.lit(1)))
+        close = (F.octet_length(lower) > F.char_length(lower)) & lower.rlike(r"[\u0e00-\x{3ffff}]")
+        return F.array_union(F.array(F.lit("")), F.when(close, pairs).otherwise(F.split(lower, _BREAK)))
+
+    # parted at spaces first, which is fast, so that the pattern runs over distinct words
+    return let(F.array_join(F.array_distinct(F.split(F.lower(text), " ")), " "), of)
+
+
+def _keys(term: Column) -> Column:
+    """For each random subset that a term is in, its number from 1 before 57 bits of the term's hash."""
+    slots = F.filter(F.sequence(F.lit(1), F.lit(len(WIDTHS))), lambda k: F.pmod(F.xxhash64(term, k), F.lit(256)) < F.get(F.array(*map(F.lit, WIDTHS)), k - 1))
+    return F.transform(slots, lambda k: F.shiftleft(k.cast("long"), _SLOT).bitwiseOR(F.xxhash64(term).bitwiseAND(F.lit(_HASH))))
 
 
 def lexicon(texts: DataFrame, rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """(term, slot) of the terms in the band, from all texts (column text), with a row ('', -1) that stands for every document."""
-    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, hash, keys) of the terms in the band, from all texts (column text)."""
+    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     n = texts.count()
-    band = counts.where((F.col("term") != "") & (F.col("df") >= max(2.0, rare * n)) & (F.col("df") <= common * n))
-    slot = F.pmod(F.xxhash64("term", F.lit(SUBSETS)), F.lit(SUBSETS)).cast("int")
-    band = band.select("term", slot.alias("slot"))
-    return cut(band.unionAll(texts.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("slot"))), "lexicon")
+    band = counts.where((F.col("df") >= max(2.0, rare * n)) & (F.col("df") <= common * n))
+    return cut(band.select("term", F.xxhash64("term").bitwiseAND(F.lit(_HASH)).alias("hash"), _keys(F.col("term")).alias("keys")), "lexicon")
 
 
 def _order(docs: DataFrame) -> DataFrame:
@@ -56,91 +80,99 @@ def _order(docs: DataFrame) -> DataFrame:
     return out.select("k0", "k1", "n_chars", F.coalesce("next.k0", "e0").alias("n0"), F.coalesce("next.k1", "e1").alias("n1"))
 
 
-def _hashes(terms: Column) -> Column:
-    """For each subset 16 bits from 1 to 65535 of its sorted terms; 0 for none."""
+def _packed(slot: Column, h: Column) -> Column:
+    return F.shiftleft(slot, 16).bitwiseOR(h.bitwiseAND(F.lit(0xFFFF))).cast("int")
 
-    def one(slot: Column) -> Column:
-        own = F.filter(terms, lambda t: t["slot"] == slot)
-        return F.when(F.size(own) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.concat_ws(" ", F.transform(own, lambda t: t["term"]))), F.lit(65535)).cast("int") + 1)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+def _hashes(every: Column, keys: Column) -> Column:
+    """For each subset with terms its number before 16 bits of a hash of its sorted terms; those of the random ones in one pass over their sorted keys."""
+    none, empty = F.lit(-1).cast("long"), F.array().cast("array<int>")
+    first = F.when(F.size(every) > 0, F.array(_packed(F.lit(0).cast("long"), F.xxhash64(every)))).otherwise(empty)
+    start = F.struct(none.alias("at"), none.alias("h"), first.alias("out"))
+    done = lambda s: F.concat(s["out"], F.array(_packed(s["at"], s["h"])))
 
+    def step(s: Column, x: Column) -> Column:
+        slot = F.shiftright(x, _SLOT)
+        fresh = F.struct(slot.alias("at"), F.xxhash64(x).alias("h"), F.when(s["at"] < 0, s["out"]).otherwise(done(s)).alias("out"))
+        return F.when(s["at"] == slot, F.struct(s["at"].alias("at"), F.xxhash64(s["h"], x).alias("h"), s["out"].alias("out"))).otherwise(fresh)
 
-def _sorted_hashes(terms: str) -> Column:
-    return let(F.sort_array(terms), _hashes)
+    return F.when(F.size(keys) > 0, F.aggregate(keys, start, step, done)).otherwise(first)
 
 
 def _written(hashes: Column, whole: Column) -> Column:
-    digits = F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 4, "0")), "")
-    return F.when(F.exists(hashes, lambda h: h > 0), digits).otherwise(F.concat(F.lit("text:"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
-
+    """Six hexadecimal digits for each subset with terms; else those of the whole text's hash."""
+    digits = F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 6, "0")), "")
+    return F.when(F.size(hashes) > 0, digits).otherwise(F.concat(F.lit("text:"), F.lpad(F.lower(F.hex(whole)), 16, "0")))
 
-def _unpacked(name: str) -> Column:
-    """The subset hashes in a fingerprint's bytes; zeros for that of a whole text."""
-    at = lambda i: F.when(F.length(name) == 8, F.lit(0)).otherwise(F.conv(F.hex(F.substring(F.col(name), 2 * i + 1, F.lit(2))), 16, 10).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), at)
 
-
-def likeness(a: Column, b: Column, written_a: Column, written_b: Column) -> Column:
-    def share(pairs: Column) -> Column:
-        some = F.size(F.filter(pairs, lambda p: (p["x"] > 0) | (p["y"] > 0)))
-        same = F.size(F.filter(pairs, lambda p: (p["x"] > 0) & (p["x"] == p["y"])))
-        return F.when(some == 0, F.lit(0.0)).otherwise(same / some)
-
-    return F.when(written_a == written_b, F.lit(1.0)).otherwise(let(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), share))
+def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
+    """The share of equal hashes among the subsets that ``a`` or ``b`` has; without any, whether the whole texts are equal."""
+    slots = lambda x: F.transform(x, lambda h: F.shiftright(h, 16))
+    share = F.size(F.array_intersect(a, b)) / F.size(F.array_union(slots(a), slots(b)))
+    return F.when(F.size(a) + F.size(b) == 0, (whole_a == whole_b).cast("double")).otherwise(share)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id, next_chars for each row.
 
     The edited text is the text with its last half taken from the start of the
-    next document. Null texts are empty. Rows equal in id and text are one
-    document in the order, and each comes out. A single document is its own
-    next one. No rows give none.
+    next document. Null and empty texts are alike. Null ids come first in the
+    order, and texts under one id go by a hash. Rows equal in id and text are
+    one document in the order, and each comes out. A single document is its own
+    next one. Very long texts are read to the end. No rows give none. Columns
+    other than the two named are not read, so their names cannot clash.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text.alias("text"))
     docs = docs.withColumns({"k0": F.coalesce("doc_id", F.lit(0).cast("long")), "k1": F.xxhash64(F.col("doc_id").isNull(), "text"), "n_chars": F.char_length("text").cast("long")})
     terms = lexicon(docs.select("text"), rare, common)
-    if terms.count() <= BROADCAST:
-        terms = F.broadcast(terms)
+    small = (terms.agg(F.sum(F.octet_length("term") + 8 * F.size("keys") + 72)).first()[0] or 0) <= BROADCAST
     order = cut(_order(docs), "next")
+    rows, repeats = docs, docs.count() > order.count()
+    if repeats:  # rows that repeat would each send their head
+        docs = docs.groupBy("k0", "k1").agg(*[F.min(c).alias(c) for c in ("doc_id", "text", "n_chars")])
 
     half = F.floor(F.col("n_chars") / 2).cast("int")
     before = order.select(F.col("n0").alias("k0"), F.col("n1").alias("k1"), F.col("k0").alias("p0"), F.col("k1").alias("p1"), half.alias("h"))
     # every column of the documents goes on from either side of the two joins, so that one shuffle of the texts serves both
     heads = docs.join(before, ["k0", "k1"]).select(F.col("p0").alias("k0"), F.col("p1").alias("k1"), F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_chars"), F.substring(F.col("text"), F.lit(1), F.col("h")).alias("head"))
-    repeats = docs.count() > order.count()
-    if repeats:  # rows that repeat would each send their head
-        heads = heads.groupBy("k0", "k1", "n0", "n1").agg(*[F.min(c).alias(c) for c in ("next_doc_id", "next_chars", "head")])
-    both = docs.join(heads, ["k0", "k1"]).withColumn("rid", F.monotonically_increasing_id())
+    both = docs.join(heads, ["k0", "k1"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
     versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))
     plain = ["doc_id", "n_chars", "next_doc_id", "next_chars", "n0", "n1"]
-    both = both.select(*plain, "k0", "k1", "rid", F.explode(versions).alias("x")).select(*plain, "k0", "k1", "rid", "x.v", F.col("x.t").alias("t"))
-    both = both.withColumns({"sha256": F.when(F.col("v") == 1, F.sha2("t", 256)), "whole": F.xxhash64("t")})
-    # the empty term, in every document and in the lexicon, carries what isn't a term
-    flat = both.withColumn("term", F.explode(F.concat(F.array(F.lit("")), F.filter(_terms(F.col("t")), lambda t: t != ""))))
-    flat = flat.select("k0", "k1", "rid", "v", "term", F.when(F.col("term") == "", F.struct(*plain, "sha256", "whole")).alias("info"))
-    of = lambda v, x: F.when(F.col("v") == v, x)
-    own = lambda v: F.collect_list(F.when((F.col("v") == v) & (F.col("slot") >= 0), F.struct("term", "slot")))
-    found = flat.join(terms, "term").groupBy("k0", "k1", "rid").agg(F.first(of(0, F.col("info")), ignorenulls=True).alias("info"), F.first(of(1, F.col("info")), ignorenulls=True).alias("edited"), own(0).alias("a"), own(1).alias("b"))
-    found = found.select("k0", "k1", "info", F.col("edited.sha256").alias("edited_sha256"), F.col("edited.whole").alias("edited_whole"), _sorted_hashes("a").alias("a"), _sorted_hashes("b").alias("b"))
-    found = found.select("k0", "k1", *[f"info.{c}" for c in plain], "edited_sha256", "a", "b", _written(F.col("a"), F.col("info.whole")).alias("fingerprint"), _written(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"))
-    near_edited = likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint"))
-    # hexadecimal is kept as bytes: half the size to write and shuffle
-    packed = lambda c: F.when(F.col(c).startswith("text:"), F.unhex(F.substring(c, 6, 16))).otherwise(F.unhex(c)).alias(c)
-    found = found.select("k0", "k1", *plain, F.unhex("edited_sha256").alias("edited_sha256"), packed("fingerprint"), packed("edited_fingerprint"), near_edited.alias("near_edited"))
+    both = both.select("k0", "k1", *plain, F.explode(versions).alias("x")).select("k0", "k1", *plain, "x.v", F.col("x.t").alias("t"))
+    # the empty term, which every text has and no lexicon, carries what isn't a term
+    both = both.withColumns({"sha256": F.when(F.col("v") == 1, F.unhex(F.sha2("t", 256))), "whole": F.xxhash64("t"), "terms": _terms(F.col("t"))}).drop("t")
+    flat = both.withColumn("term", F.explode("terms"))
+    flat = flat.select("k0", "k1", "v", "term", F.when(F.col("term") == "", F.struct(*plain, "sha256", "whole")).alias("info"))
+    of = lambda v, x: F.first(F.when(F.col("v") == v, x), ignorenulls=True)
+    infos = [of(0, F.col("info")).alias("own"), of(1, F.col("info")).alias("edited")]
+    keys = [F.collect_list(F.when(F.col("v") == v, F.col("hash"))).alias(f"{c}0") for v, c in enumerate("ab")]
+    keys += [F.flatten(F.collect_list(F.when((F.col("v") == v) & (F.size("keys") > 0), F.col("keys")))).alias(c) for v, c in enumerate("ab")]
+    terms = terms.select("term", F.coalesce("hash", F.lit(0).cast("long")).alias("hash"), F.transform("keys", lambda k: F.coalesce(k, F.lit(0).cast("long"))).alias("keys"))  # never null, and now typed so
+    if small:
+        found = flat.join(F.broadcast(terms), "term", "left").groupBy("k0", "k1").agg(*infos, *keys)
+    else:  # what isn't a term stays out of the join, where the empty term would be in every document
+        flat = cut(flat, "terms")
+        found = flat.where("term <> ''").join(terms, "term").groupBy("k0", "k1").agg(*keys)
+        found = flat.where("term = ''").groupBy("k0", "k1").agg(*infos).join(found, ["k0", "k1"], "left")
+    none = F.array().cast("array<bigint>")
+    # sorted in a projection of its own, where that is compiled code
+    found = found.select("k0", "k1", *[f"own.{c}" for c in (*plain, "whole")], "edited.sha256", F.col("edited.whole").alias("edited_whole"), *[F.sort_array(F.coalesce(c, none)).alias(c) for c in ("a0", "b0", "a", "b")])
+    found = found.withColumns({c: _hashes(F.col(f"{c}0"), F.col(c)) for c in "ab"}).drop("a0", "b0")
     found = cut(found, "fingerprints")
+    if not small:
+        discard(flat)
 
-    nexts = found.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("fingerprint").alias("after"))
+    nexts = found.select(F.col("k0").alias("n0"), F.col("k1").alias("n1"), F.col("a").alias("c"), F.col("whole").alias("next_whole"))
+    out = found.join(nexts, ["n0", "n1"])
     if repeats:
-        nexts = nexts.groupBy("n0", "n1").agg(F.min("after").alias("after"))
-    near_next = likeness(_unpacked("fingerprint"), _unpacked("after"), F.col("fingerprint"), F.col("after"))
-    # in a projection of its own: lambdas would read columns that the next one renames
-    out = found.join(nexts, ["n0", "n1"]).withColumn("near_next", near_next)
-    read = lambda c: F.when(F.length(c) == 8, F.concat(F.lit("text:"), F.lower(F.hex(c)))).otherwise(F.lower(F.hex(c)))
-    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), read("fingerprint").alias("fingerprint"), read("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", "next_doc_id", "next_chars")
+        out = rows.select("k0", "k1").join(cut(out, "found"), ["k0", "k1"])
+    near = lambda x, whole: likeness(F.col("a"), F.col(x), F.col("whole"), F.col(whole))
+    return out.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha256")).alias("edited_sha256"), _written(F.col("a"), F.col("whole")).alias("fingerprint"), _written(F.col("b"), F.col("edited_whole")).alias("edited_fingerprint"),
+        near("b", "edited_whole").alias("near_edited"), near("c", "next_whole").alias("near_next"), "next_doc_id", "next_chars",
+    )
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
