@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from assay.llm import packing
-from tests.llm.test_operators import documents, plain_components, plain_fingerprint, plain_spans
+from tests.llm.test_operators import documents, plain_bootstrap, plain_components, plain_fingerprint, plain_spans
 
 
 def test_stages(spark, sf):
@@ -19,15 +19,20 @@ def test_stages(spark, sf):
     masked = stages["mask_pii"](spark, kept, sf)
     before, after = {r.doc_id: r for r in kept.collect()}, {r.doc_id: r for r in masked.collect()}
     assert masked.columns == docs.columns and before.keys() == after.keys()
+    more = plain_bootstrap({i: r.text or "" for i, r in before.items()}, extra=True)
     for i, r in after.items():
-        spans = plain_spans(before[i].text)
-        assert (r.text == before[i].text) == (not spans) and r.n_chars == len(r.text) and not plain_spans(r.text)
+        text, at, out = before[i].text, 0, ""
+        for start, end, kind in sorted((s, e, k) for k, s, e in [*plain_spans(text), *more.get(i, ())]):
+            out += text[at:start] + f"[{kind.upper()}]" if start >= at else ""
+            at = max(at, end)
+        assert r.text == out + text[at:] and r.n_chars == len(r.text) and not plain_spans(r.text)
+    assert any("[SECRET]" in r.text for r in after.values())
     mixed = stages["mix_sources"](spark, masked, sf)
     assert mixed.columns == docs.columns
     n = Counter(r.doc_id for r in mixed.collect())
     packed = corpus_pipeline.run(spark, sf)
     tokens = packing.encoder(packing.default_vocabulary())
-    want = Counter({i: k * (1 + len(tokens.encode(after[i].text))) for i, k in n.items()})
+    want = Counter({i: k * (1 + len(tokens.ids(after[i].text))) for i, k in n.items()})
     got = Counter()
     for r in packed.collect():
         got[r.doc_id] += r.length
