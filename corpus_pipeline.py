@@ -2,7 +2,7 @@
 
 Each stage takes all that the one before kept, and is written and read again.
 Documents in no known language go, one of each group of near duplicates stays,
-personal data is masked, sources are repeated to their target weights, and the
+personal data and secrets are masked, sources are repeated to their target weights, and the
 rest is packed.
 """
 
@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    return pii.redact(docs, extra=pii.SECRETS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
