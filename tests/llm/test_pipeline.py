@@ -26,7 +26,6 @@ def test_stages(spark, sf):
             out += text[at:start] + f"[{kind.upper()}]" if start >= at else ""
             at = max(at, end)
         assert r.text == out + text[at:] and r.n_chars == len(r.text) and not plain_spans(r.text)
-    assert any("[SECRET]" in r.text for r in after.values())
     mixed = stages["mix_sources"](spark, masked, sf)
     assert mixed.columns == docs.columns
     n = Counter(r.doc_id for r in mixed.collect())
