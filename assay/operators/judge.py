@@ -46,13 +46,25 @@ class Settings:
 
 
 class Cache:
-    """Replies of one batch by the hash of their request. Beyond its budget a query ends: it never pays twice instead."""
+    """Replies of one batch by the hash of their request. Beyond its budget a query ends: it never pays twice instead.
+
+    What a batch keeps only to save work (hashes of states, decoded replies) has
+    a quarter of the budget besides, beyond which that work is done again.
+    """
 
     ENTRY = 128
 
     def __init__(self, limit: int) -> None:
         self.replies: dict[bytes, Any] = {}
-        self.left = limit
+        self.left, self.spare = limit, limit // 4
+
+    def spares(self, size: int) -> bool:
+        """Whether there is room for ``size`` bytes that could be computed again; if so it is taken."""
+        size += self.ENTRY
+        if size > self.spare:
+            return False
+        self.spare -= size
+        return True
 
     def reserve(self) -> None:
         """Room for one more key, before its request is paid for."""
@@ -105,7 +117,7 @@ class Judge:
         if key is None:
             body = self._body(convert(state), first, criteria, model)
             key = hashlib.sha256(body).digest()
-            if known:
+            if known and cache.spares(2 * len(state)):
                 self._keys[known] = key
         if key in cache.replies:
             counts["cache_hits"] += 1
@@ -120,23 +132,34 @@ class Judge:
                 cache.put(key, _FAILED)
                 raise
             cache.put(key, reply)  # before it is read: a reply that doesn't fit one function may be another's answer
-        if key not in self._results:
-            self._results[key] = rq.result_of(self.function, reply)
-        return self._results[key]
+        if key in self._results:
+            return self._results[key]
+        result = rq.result_of(self.function, reply)
+        if cache.spares(4 * len(reply)):
+            self._results[key] = result
+        return result
+
+    def begin(self) -> None:
+        """Forget what was kept for the batch before."""
+        self._questions.clear(), self._keys.clear(), self._results.clear()
+
+    def one(self, state: Any, convert: Callable[[Any], Any], first: str | None, criteria: str | None, model: str | None, cache: Cache, counts: Counter) -> Any:
+        """A row's result, NULL for its error if the settings say so."""
+        try:
+            return self.row(state, convert, first, criteria, model, cache, counts)
+        except JudgmentError as e:
+            counts["failures"] += 1
+            if self.settings.on_error == "fail":
+                raise JudgmentError(*e.args) from None
+            return None
 
     def batch(self, states: pa.Array, firsts: list, criteria: list, models: list, cache: Cache, counts: Counter) -> pa.Array:
-        self._questions.clear(), self._keys.clear(), self._results.clear()
+        self.begin()
         convert, out = root_converter(states.type), []
         for i in range(len(states)):
             if i % SLICE == 0:
                 values = states.slice(i, SLICE).to_pylist()
-            try:
-                out.append(self.row(values[i % SLICE], convert, firsts[i], criteria[i], models[i], cache, counts))
-            except JudgmentError as e:
-                counts["failures"] += 1
-                if self.settings.on_error == "fail":
-                    raise JudgmentError(*e.args) from None
-                out.append(None)
+            out.append(self.one(values[i % SLICE], convert, firsts[i], criteria[i], models[i], cache, counts))
         return pa.array(out, ARROW[self.function])
 
 

@@ -2,22 +2,36 @@
 
 Workers report to a collector on the driver after every batch, also when it
 fails: Spark's accumulators lose the counts of tasks that end early, as tasks
-under a LIMIT do, and those requests were paid for.
+under a LIMIT do, and those requests were paid for. A report that doesn't get
+through is tried again, and then kept in the worker and sent with its next one,
+which also says how many were late.
 """
 
 from __future__ import annotations
 
+import hmac
 import json
+import secrets
 import socket
 import socketserver
+import sys
 import threading
+import time
 from collections import Counter, defaultdict
 
+# The counters by name.
 FIELDS = ("requests", "retries", "cache_hits", "failures", "input_tokens", "output_tokens", "estimated_cost_nano_usd", "unpriced_requests")
 
 
+TRIES, WAIT = 3, 0.2
+Address = tuple[str, int, str]
+
+
 class Collector:
+    """``address``: host and port as workers reach them, and a token without which nothing is taken."""
+
     def __init__(self, host: str = "127.0.0.1") -> None:
+        self.late = 0
         self.counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         self._lock = threading.Lock()
         outer = self
@@ -26,7 +40,11 @@ class Collector:
             def handle(self) -> None:
                 for line in self.rfile:
                     said = json.loads(line)
-                    outer.add(said["query"], said["site"], Counter(said["counts"]))
+                    if not hmac.compare_digest(said.get("token", ""), outer.address[2]):
+                        return
+                    for query, site, counts in said["reports"]:
+                        outer.add(query, site, Counter(counts))
+                    outer.late += len(said["reports"]) - 1
                     self.wfile.write(b"\n")
 
         class Server(socketserver.ThreadingTCPServer):
@@ -35,7 +53,7 @@ class Collector:
             request_queue_size = 256
 
         self.server = Server((host, 0), Handler)
-        self.address = (host, self.server.server_address[1])
+        self.address: Address = (host, self.server.server_address[1], secrets.token_hex(16))
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
 
     def add(self, query: str, site: str, counts: Counter) -> None:
@@ -57,11 +75,21 @@ class Collector:
         self.server.server_close()
 
 
-def report(address: tuple[str, int], query: str, site: str, counts: Counter) -> None:
-    """Send a batch's counts and wait until they are taken; a driver that is gone no longer needs them."""
-    try:
-        with socket.create_connection(address, timeout=5) as link:
-            link.sendall(json.dumps({"query": query, "site": site, "counts": counts}).encode() + b"\n")
-            link.recv(1)
-    except OSError:
-        pass
+_kept: dict[Address, list] = defaultdict(list)
+
+
+def report(address: Address, query: str, site: str, counts: Counter) -> None:
+    """Send a batch's counts, and any that are late, and wait until they are taken. If that fails they stay for the next report."""
+    _kept[address].append((query, site, counts))
+    for turn in range(TRIES):
+        try:
+            with socket.create_connection(address[:2], timeout=5) as link:
+                link.sendall(json.dumps({"token": address[2], "reports": _kept[address]}).encode() + b"\n")
+                if link.recv(1) == b"\n":
+                    del _kept[address]
+                    return
+        except OSError:
+            pass
+        if turn < TRIES - 1:
+            time.sleep(WAIT * 2**turn)
+    print(f"{len(_kept[address])} reports of judgment costs are late", file=sys.stderr)
