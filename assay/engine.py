@@ -32,6 +32,16 @@ _SET = re.compile(r"\s*set\s+assay\.(\w+)\s*=\s*(?:'([^']*)'|\"([^\"]*)\"|(\S*))
 _EXPLAIN = re.compile(r"\s*explain\s+analyze\s+", re.IGNORECASE)
 
 
+_PART = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|;""", re.DOTALL)
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a text; semicolons in quotes and comments part nothing."""
+    cuts = [m.start() for m in _PART.finditer(text) if m[0] == ";"]
+    parts = [text[a:b].strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True)]
+    return [p for p in parts if p]
+
+
 class Result:
     """A planned query. It runs, and pays, each time its rows are asked for."""
 
@@ -121,7 +131,19 @@ class Engine:
     # queries
 
     def sql(self, text: str) -> Result | None:
-        """Plan a query. SET of a setting of the engine takes effect at once and gives None; EXPLAIN ANALYZE runs its query."""
+        """Plan a query. SET of a setting of the engine takes effect at once and gives None; EXPLAIN ANALYZE runs its query.
+
+        Of several statements parted by semicolons, each is planned in turn with
+        the settings that it finds, and the last one's result comes back; those
+        before it that aren't commands are only checked.
+        """
+        first, *rest = statements(text) or [text]
+        if rest:
+            found = None
+            for statement in (first, *rest):
+                found = self.sql(statement)
+            return found
+        text = first
         if match := _SET.fullmatch(text):
             self.set(match[1], next((g for g in match.groups()[1:] if g is not None), ""))
             return None

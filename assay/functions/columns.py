@@ -34,12 +34,13 @@ def register_helpers(spark: SparkSession) -> None:
 def register_json_functions(spark: SparkSession) -> None:
     """``json_get``, ``json_get_str``, ``json_get_float``, ``json_get_int`` and ``json_get_bool`` of a JSON text and one to four keys.
 
-    They are SQL functions over Spark's own ``get_json_object``. What is absent
-    or of another type gives NULL.
+    They are SQL functions over Spark's own ``from_json``. A key is any text, or
+    of an array the place from 0. What is absent or of another type gives NULL.
     """
     keys = ", ".join(["k1 STRING", *(f"k{i} STRING DEFAULT NULL" for i in range(2, 5))])
-    path = "concat('$', " + ", ".join(f"coalesce(concat('[\\'', k{i}, '\\']'), '')" for i in range(1, 5)) + ")"
+    step = "CASE WHEN {1} IS NULL THEN {0} WHEN ltrim({0}) LIKE '[%' THEN get(from_json({0}, 'array<string>'), try_cast({1} AS INT)) ELSE try_element_at(from_json({0}, 'map<string,string>'), {1}) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION json_step(doc STRING, k STRING) RETURNS STRING RETURN {step.format('doc', 'k')}")
     for name, kind in (("json_get", "STRING"), ("json_get_str", "STRING"), ("json_get_float", "DOUBLE"), ("json_get_int", "BIGINT"), ("json_get_bool", "BOOLEAN")):
-        value = f"get_json_object(doc, {path})"
+        value = "json_step(json_step(json_step(json_step(doc, k1), k2), k3), k4)"
         body = value if kind == "STRING" else f"try_cast({value} AS {kind})"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(doc STRING, {keys}) RETURNS {kind} RETURN {body}")
