@@ -21,7 +21,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("assay.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = set(e.queries())
@@ -31,6 +31,26 @@ assert e.oracle_sql().keys() <= names
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
 
 
+def test_a_missing_library_is_an_error():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "ahocorasick" or name == "numpy":
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+try:
+    import __spark_entry__ as e
+except ModuleNotFoundError as x:
+    assert x.name in ("ahocorasick", "numpy")
+else:
+    assert not any(n.startswith("op") for n in e.queries()) and not e.llm
+    import importlib.util
+    assert importlib.util.find_spec("corpus_pipeline") is None
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
 def test_nothing_else_imports_the_optional_operators():
     for file in (REPO / "assay").rglob("*.py"):
         if "llm" not in file.relative_to(REPO / "assay").parts:

@@ -112,6 +112,96 @@ def test_limit_over_rejections(spark, make):
     assert engine.sql(f"{M} LIMIT 3").collect() == []
 
 
+def test_rejections_cost_no_jobs(spark, make):
+    server, engine = make()
+
+    def jobs(n, text):
+        spark.createDataFrame([(42, f"reject-{i % 50}" if i < n else f"record-{i}") for i in range(n + 3)], "tenant_id int, body string").coalesce(1).createOrReplaceTempView("t")
+        server.reset()
+        group = f"limit-{n}-{len(text)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = engine.sql(text).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return [r.body for r in rows], len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    for text in (f"{M} LIMIT 1", "SELECT body, j.label FROM (SELECT body, tenant_id, choice(body, 'x', '{\"a\":1,\"b\":2}') AS j, noul(body, 'x') AS p FROM t) WHERE p BETWEEN 0.8 AND tenant_id AND coalesce(j.label, '') <> 'c' AND j.probabilities['a'] > 0 LIMIT 1"):
+        few, many = jobs(10, text), jobs(2000, text)
+        assert few[0] == ["record-10"] and many[0] == ["record-2000"] and many[1] <= few[1] + 1 < 5
+
+
+def test_changes_of_partitioning_are_no_barrier(spark, make):
+    server, engine = make()
+    table(spark, 100, reject=lambda i: i < 10, tenant=lambda i: 42)
+    for dealt in ("REPARTITION(3)", "COALESCE(1)", "REPARTITION(3, body)", "REBALANCE"):
+        server.reset()
+        rows = engine.sql(f"SELECT body, noul(body, 'x') AS p FROM (SELECT /*+ {dealt} */ body FROM t WHERE noul(body, 'x') > 0.8)").collect()
+        assert len(rows) == 90 and server.requests == 100, dealt
+        server.reset()
+        rows = engine.sql(f"SELECT * FROM (SELECT /*+ {dealt} */ body, noul(body, 'x') AS p FROM t) WHERE body LIKE 'record-1%'").collect()
+        assert len(rows) == 10 and server.requests == 10, dealt
+    server.reset()
+    from pyspark.sql import functions as F
+
+    df = spark.table("t")
+    judged = df.where(engine.noul(df.body, "x") > 0.8).repartition(3, engine.noul(F.col("body"), "x"))
+    assert engine.query(judged.select("body", engine.noul(F.col("body"), "x").alias("p"))).dataframe().count() == 90 and server.requests == 100
+
+
+def test_several_statements(spark, make):
+    server, engine = make()
+    rows = engine.sql("SET assay.model = 'later'; -- a comment; here\nSELECT noul('a;b', 'x;') AS p /* ; */;").collect()
+    assert len(rows) == 1 and json.loads(server.bodies[0]) == {"model": "later", "state": "a;b", "questions": {"q0": {"type": "noul", "instructions": "x;"}}}
+    assert engine.sql("SET assay.model = 'x'; SET assay.on_error = 'null'") is None
+
+
+def test_late_reports_are_sent_with_the_next(monkeypatch):
+    from collections import Counter
+
+    from assay.operators import metrics
+
+    collector = metrics.Collector()
+    monkeypatch.setattr(metrics, "WAIT", 0.01)
+    connect = metrics.socket.create_connection
+    monkeypatch.setattr(metrics.socket, "create_connection", lambda *a, **k: (_ for _ in ()).throw(OSError("gone")))
+    metrics.report(collector.address, "q", "s", Counter(requests=3))
+    assert not collector.counts
+    monkeypatch.setattr(metrics.socket, "create_connection", connect)
+    metrics.report(collector.address, "q", "s", Counter(requests=4))
+    assert collector.total("q")["requests"] == 7 and collector.late == 1
+    metrics.report((*collector.address[:2], "wrong"), "q", "s", Counter(requests=4))
+    assert collector.total("q")["requests"] == 7
+    collector.close()
+
+
+def test_work_kept_besides_replies_has_a_bound(spark, make):
+    from assay.operators.judge import Cache
+
+    cache = Cache(4096)
+    assert cache.spares(500) and not cache.spares(500) and cache.left == 4096
+    server, engine = make(cache_bytes=20_000)
+    spark.createDataFrame([(("x" * 3000) + str(i % 4),) for i in range(40)], "body string").coalesce(1).createOrReplaceTempView("long")
+    assert len(engine.sql("SELECT noul(body, 'x') FROM long").collect()) == 40 and server.requests == 4
+
+
+def test_late_data_in_a_stream_is_left_out(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assay.streaming.judged import run_to_end
+
+    server, engine = make()
+    for k, rows in enumerate((["2024-01-01 10:00:00", "2024-01-01 10:20:00"], ["2024-01-01 15:00:00"], ["2024-01-01 15:10:00"], ["2024-01-01 10:30:00", "2024-01-01 14:30:00"], ["2024-01-01 20:00:00"])):
+        spark.createDataFrame([(r, f"record-{r}") for r in rows], "ts string, body string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "body").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        import time
+
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema("ts timestamp, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    judged = stream.withColumn("p", engine.noul(F.col("body"), "x")).withWatermark("ts", "1 hour")
+    got = run_to_end(judged.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.max("p").alias("p"))).selectExpr("hour(w.start) AS h", "n", "p").collect()
+    assert sorted(tuple(r) for r in got) == [(10, 2, 0.9), (14, 1, 0.9), (15, 2, 0.9)]
+
+
 def test_inner_joins_match_first(spark, make):
     server, engine = make()
     spark.createDataFrame([(i, f"a{i}") for i in range(6)], "k int, a string").createOrReplaceTempView("l")
