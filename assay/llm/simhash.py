@@ -33,6 +33,8 @@ from assay.llm.components import connected_components
 
 WORDS, SEED, RADIUS, BLOCKS = 3, 42, 2, 8
 _LOW_BITS = 0x5555555555555555
+#: Bits of the filter that spares texts a shuffle (8 MB, whatever the input), and how many of them a row of it holds.
+FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 15
 
 
 def _words(data: bytes, chunk: int) -> Iterator[list[bytes]]:
@@ -155,6 +157,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _split(keyed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` that are not in ``wanted`` (written keys) for sure, and the others.
+
+    A bitmap of fixed size is broadcast, so that only the others' texts need a
+    shuffle. Where keys are so many that most bits are set, most rows are among
+    the others, and the result of a join with them is the same.
+    """
+    spot = F.pmod(F.col("__h0"), F.lit(FILTER_BITS))
+    page, at = F.floor(spot / PAGE_BITS).cast("int"), spot.bitwiseAND(F.lit(PAGE_BITS - 1)).cast("int")
+    bits = cut(wanted.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(at).alias("__bits")), "bits")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = keyed.withColumn("__page", page).join(F.broadcast(bits), "__page", "left").withColumn("__maybe", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)))
+    return tuple(marked.where(x).drop("__page", "__bits", "__maybe") for x in ("not __maybe", "__maybe"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component, all columns: that of the least id.
 
@@ -174,11 +191,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cr
     keys = ["__h0", "__h1"]
     keyed = docs.withColumns(dict(zip(keys, _hashes(id_col, text_col), strict=True)))
     named = lambda df: df.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"))
-    kept = keyed.join(named(rows.where("not stays")), keys, "left_anti")
+    # most rows are alone and stay; the joins take only those that may not be
+    usual, rest = _split(keyed, named(rows.where("not stays or n > 1")))
+    kept = rest.join(named(rows.where("not stays")), keys, "left_anti")
     again = cut(named(rows.where("stays and n > 1")), "again")
     if again.isEmpty():
-        return kept.drop(*keys)
-    once = kept.join(again, keys, "left_anti").drop(*keys)
+        return usual.unionByName(kept).drop(*keys)
+    once = usual.unionByName(kept.join(again, keys, "left_anti")).drop(*keys)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = kept.join(again, keys, "left_semi").select(*keys, row.alias("__row"))
     one = one.groupBy(*keys).agg(F.min_by("__row", F.sha2(F.to_json("__row"), 256)).alias("__row"))
