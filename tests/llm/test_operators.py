@@ -340,6 +340,23 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()), key=str) == [11, 2, 9, None]
 
 
+@pytest.mark.parametrize("bits", [2, 1 << 26])
+def test_keep_one_with_a_full_bitmap_and_without_broadcasts(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "FILTER_BITS", bits)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, f"text number {i // 3} stands here alone") for i in range(60)] + [(70, "one more"), (70, "one more"), (0, "text number 0 stands here alone")]
+        got = sorted((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    roots = plain_components([plain_fingerprint(t) for _, t in rows])
+    groups = defaultdict(list)
+    for row, root in zip(rows, roots, strict=True):
+        groups[root].append(row)
+    assert got == sorted(min(g) for g in groups.values())
+
+
 def test_keep_one_loses_no_text_without_a_near_copy(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
