@@ -124,11 +124,14 @@ def find_media(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of each valid file: the outermost first where they nest, none that overlaps another otherwise."""
     out: list[tuple[str, int, int]] = []
     starts = sorted((end + 1 - n, kind) for end, (n, kind) in _automaton().iter(data.decode("latin-1")))
+    ends: list[int] = []  # of the files that are open at a start, the innermost last
     for at, kind in starts:
         if length := VALID[kind](data, at):
-            inside = next((x for x in reversed(out) if x[1] <= at < x[1] + x[2]), None)
-            if inside is None or at + length <= inside[1] + inside[2]:
+            while ends and ends[-1] <= at:
+                ends.pop()
+            if not ends or at + length <= ends[-1]:
                 out.append((kind, at, length))
+                ends.append(at + length)
     return out
 
 
