@@ -1,7 +1,7 @@
 """Shards of equal row counts that keep linked documents together.
 
 Documents are linked if their texts are equal. Balanced label propagation: a
-document starts in the shard its rank gives. In each round, joins tell every
+linked document starts in the shard that its hash gives. In each round, joins tell every
 linked document which shard most of its neighbours are in, and it moves there
 as far as that shard's quota goes. Links are stars around a hub per group, so
 a group costs its size and no pairs; groups larger than a part of a shard have
@@ -17,19 +17,20 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import cut, documents, pick
 
-SHARDS, ROUNDS, HUB_SHARE, BUCKETS = 40, 3, 2, 256
+SHARDS, ROUNDS, HUB_SHARE, BUCKET = 40, 3, 2, 1 << 16
 
 
 def _ranked(df: DataFrame, by: list[str], name: str, buckets: int) -> DataFrame:
     """``df`` with a gapless rank from 0 within ``by``, in two steps: counts before each bucket, and ranks within one."""
     df = df.withColumn("__b", F.pmod(F.xxhash64("rid", F.lit(17)), F.lit(buckets)))
     counts = df.groupBy(*by, "__b").count()
-    # one row per bucket and shard, however many documents there are
+    # one row for each bucket of a shard, that is of some 65,536 documents
     before = counts.withColumn("__before", F.sum("count").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__bucket"), F.coalesce("__before", F.lit(0)).alias("__before"))
+    # the ranks are partitioned by what they are joined on, so the join moves none of them
     ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy("rid")) - 1)
     on = [F.col(c) == F.col(f"__{c}") for c in by] + [F.col("__b") == F.col("__bucket")]
-    return ranked.join(F.broadcast(before), on).withColumn(name, F.col("__before") + F.col("__r")).select(*[c for c in df.columns if c != "__b"], name)
+    return ranked.join(before, on).withColumn(name, F.col("__before") + F.col("__r")).select(*[c for c in df.columns if c != "__b"], name)
 
 
 def _step(rank: F.Column, edges: list[int]) -> F.Column:
@@ -41,7 +42,10 @@ def balanced_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, i
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and the group, for each row.
 
     Null texts count as empty and equal each other. Repeated rows and null ids
-    are documents like any other. No rows give none.
+    are documents like any other. Very long texts count in full; beyond their
+    size and hashes they are not moved. Rows that tie are told apart by where
+    they were read. No rows give none. Columns other than the two named are not
+    read, so their names cannot clash.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("group_id"), F.monotonically_increasing_id().alias("rid"))
@@ -51,6 +55,7 @@ def balanced_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, i
         return docs.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_id")
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     hub_size = max(1, total // shards // HUB_SHARE)
+    buckets = -(-capacity[0] // BUCKET)
 
     groups = docs.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
     groups = cut(groups.select("group_id", F.ceil(F.col("n") / hub_size).alias("hubs")), "groups")
@@ -76,7 +81,7 @@ def balanced_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, i
         # a hub that is turned away tries its luck at another shard in the next round
         linked = cut(moved.select("rid", "hub", F.when(taken, F.col("aim")).otherwise(F.col("shard")).alias("shard")), "labels")
 
-    ranked = cut(_ranked(linked, ["shard"], "place", BUCKETS), "placed")
+    ranked = cut(_ranked(linked, ["shard"], "place", buckets), "placed")
     limit = F.element_at(F.array(*[F.lit(c).cast("long") for c in capacity]), F.col("shard") + 1)
     staying = ranked.where(F.col("place") < limit).select("rid", "shard", F.col("place").alias("slot"))
     taken = {r.shard: r["count"] for r in staying.groupBy("shard").count().collect()}
@@ -85,7 +90,7 @@ def balanced_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, i
         edges.append(room)
         room += capacity[s] - taken.get(s, 0)
     pool = base.where("hub is null").select("rid").unionAll(ranked.where(F.col("place") >= limit).select("rid"))
-    pool = _ranked(pool, [], "place", shards * BUCKETS)
+    pool = _ranked(pool, [], "place", shards * buckets)
     # the shard is the last whose gap begins at or before the place, since empty gaps begin where the next one does
     pool = pool.withColumn("shard", (_step(F.col("place"), edges) - 1).cast("int"))
     at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("shard") + 1)

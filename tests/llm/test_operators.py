@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import struct
 import subprocess
 import sys
 import textwrap
@@ -415,6 +416,14 @@ def test_media_round_trip_and_carving(spark, sf):
     found = media.find_media(blob)
     assert [(k, n) for k, _, n in found] == [(k, len(files[k])) for k in (media.PNG, media.WAV, media.BMP)]
     assert all(blob[at : at + n] == files[k] and media.load(blob[at : at + n], k) == payload for k, at, n in found)
+    # a sound that holds an image, then an image of its own
+    png = files[media.PNG]
+    inner = png + b"xx"
+    sound = b"RIFF" + struct.pack("<I", 36 + len(inner)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(inner)) + inner
+    sound += b"" if len(inner) % 2 == 0 else b"\0"
+    if len(inner) % 2:
+        sound = sound[:4] + struct.pack("<I", len(sound) - 8) + sound[8:]
+    assert media.find_media(sound + png) == [(media.WAV, 0, len(sound)), (media.PNG, 44, len(png)), (media.PNG, len(sound), len(png))]
 
 
 # WARC
@@ -729,8 +738,9 @@ def test_license_sql_finds_the_nearest_of_several_levels(spark, tmp_path):
 # shards
 
 
-@pytest.mark.parametrize("hot", [0, 700])
-def test_shards_are_even_and_keep_groups_together(spark, hot):
+@pytest.mark.parametrize(("hot", "bucket"), [(0, 1 << 16), (700, 1 << 16), (700, 7)])
+def test_shards_are_even_and_keep_groups_together(spark, monkeypatch, hot, bucket):
+    monkeypatch.setattr(sharding, "BUCKET", bucket)
     rows = [(i, f"text {i // 3 if i < 600 else i}") for i in range(2013)] + [(5000 + i, "hot") for i in range(hot)]
     got = sharding.balanced_shards(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
