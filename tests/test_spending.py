@@ -202,6 +202,21 @@ def test_late_data_in_a_stream_is_left_out(spark, make, tmp_path):
     assert sorted(tuple(r) for r in got) == [(10, 2, 0.9), (14, 1, 0.9), (15, 2, 0.9)]
 
 
+def test_a_stream_leaves_its_rows_to_files(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assay.streaming.judged import run_to_end
+
+    server, engine = make()
+    for k in range(3):
+        spark.createDataFrame([(k, f"record-{k}"), (k, f"reject-{k}")], "k int, body string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_end(stream.withColumn("p", engine.noul(F.col("body"), "x")))
+    assert len(got.inputFiles()) >= 3 and server.requests == 6  # a table in the driver's memory has none
+    assert sorted((r.k, r.p) for r in got.collect()) == [(k, p) for k in range(3) for p in (0.1, 0.9)]
+    assert server.requests == 6
+
+
 def test_inner_joins_match_first(spark, make):
     server, engine = make()
     spark.createDataFrame([(i, f"a{i}") for i in range(6)], "k int, a string").createOrReplaceTempView("l")
