@@ -50,11 +50,16 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that the stream gives for the input there is now, as a table of Parquet files.
 
     A micro-batch has a folder of its own, which replaces what a failed try of it
-    has left; in mode ``complete`` the last one is the result.
+    has left; in mode ``complete`` the last one is the result. State is kept on
+    the executors' disks.
     """
     spark = stream.sparkSession
     folder, done = _folder(spark), []
@@ -68,6 +73,12 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
         done.append(f"{folder}/rows/{batch}")
 
     writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.start().awaitTermination()
+    before = spark.conf.get(_STATE)
+    spark.conf.set(_STATE, _ON_DISK)
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(_STATE, before)
+    query.awaitTermination()
     _delete(spark, f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)

@@ -217,6 +217,22 @@ def test_a_stream_leaves_its_rows_to_files(spark, make, tmp_path):
     assert server.requests == 6
 
 
+def test_the_last_of_complete_results_is_the_table(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assay.streaming.judged import run_to_end
+
+    server, engine = make()
+    for k in range(3):
+        spark.createDataFrame([(k, f"record-{k}"), (0, f"reject-{k}")], "k int, body string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema("k int, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_end(stream.withColumn("p", engine.noul(F.col("body"), "x")).groupBy("p").count(), "complete")
+    assert sorted(tuple(r) for r in got.collect()) == [(0.1, 3), (0.9, 3)] and server.requests == 6
+    assert len({f.rpartition("/")[0] for f in got.inputFiles()}) == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_inner_joins_match_first(spark, make):
     server, engine = make()
     spark.createDataFrame([(i, f"a{i}") for i in range(6)], "k int, a string").createOrReplaceTempView("l")
