@@ -460,3 +460,21 @@ def test_choices_can_be_stored_with_and_without_their_probabilities(spark, make,
     spark.read.parquet(str(tmp_path / "full")).selectExpr("id", "j.label", "j.confidence").write.parquet(str(tmp_path / "short"))
     size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
     assert server.requests == 50 and size("full") > 2 * size("short")
+
+
+@pytest.mark.parametrize("query", ["SELECT /*+ COALESCE(1) */ noul(body, 'x') AS p FROM parts", "SELECT /*+ COALESCE(1) */ body FROM parts WHERE noul(body, 'x') > 0.8 AND noul(body, 'even') > 0"])
+def test_a_coalesce_makes_batches_whole(spark, make, tmp_path, query):
+    server, engine = make()
+    for i in range(5):  # as many files, and partitions, of 7 rows
+        spark.createDataFrame([(f"record-{k}",) for k in range(7)], "body string").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    paths = [f"{tmp_path}/{i}" for i in range(5)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        spark.read.parquet(*paths).createOrReplaceTempView("parts")
+        assert spark.table("parts").rdd.getNumPartitions() >= 5
+        assert len(engine.sql(query).collect()) == 35
+        assert server.requests == 7 * (2 if "even" in query else 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
