@@ -21,7 +21,7 @@ _collector: list[Collector] = []
 
 def server() -> Loopback:
     if not _server:
-        _server.append(Loopback())
+        _server.append(Loopback(keep=False))
     return _server[0]
 
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 import contextlib
 import json
 import socket
+import socketserver
 import threading
 import time
 from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from http.client import responses
 
 MODEL = "loopback-1"
 
@@ -50,20 +51,22 @@ def respond(request: dict) -> dict:
 class Loopback:
     """``with Loopback() as server``: ``server.url``, ``server.bodies`` (bytes of each request), ``server.peak`` (most in flight).
 
-    ``script`` may return (status, headers, body bytes) for a request, or None for the usual answer.
+    ``script`` may return (status, headers, body bytes) for a request, or None for the usual answer. Without ``keep``
+    requests are only counted: a server that millions of rows ask then holds none of them.
     """
 
-    def __init__(self, script: Callable[[int, bytes], tuple[int, dict, bytes] | None] | None = None, delay: float = 0.0) -> None:
+    def __init__(self, script: Callable[[int, bytes], tuple[int, dict, bytes] | None] | None = None, delay: float = 0.0, keep: bool = True) -> None:
         self.bodies: list[bytes] = []
         self.headers: list[dict] = []
         self.paths: list[str] = []
-        self.peak = self._now = self.connections = 0
+        self.requests = self.peak = self._now = self.connections = 0
         self._sockets: set[socket.socket] = set()
         self._lock = threading.Lock()
         outer = self
 
-        class Handler(BaseHTTPRequestHandler):
-            protocol_version = "HTTP/1.1"
+        class Handler(socketserver.StreamRequestHandler):
+            """HTTP/1.1 of the least kind: the standard library's handler takes most of a request's time to parse and write headers."""
+
             disable_nagle_algorithm = True
 
             def setup(self) -> None:
@@ -80,54 +83,54 @@ class Loopback:
                 except OSError:
                     pass
 
-            def do_POST(self) -> None:
-                body = self.rfile.read(int(self.headers["Content-Length"]))
+            def handle(self) -> None:
+                with contextlib.suppress(OSError):
+                    while line := self.rfile.readline():
+                        headers = {}
+                        while (field := self.rfile.readline()) not in (b"\r\n", b""):
+                            name, _, value = field.decode("latin-1").partition(":")
+                            headers[name] = value.strip()
+                        self.reply(line.split()[1].decode("latin-1"), headers)
+
+            def reply(self, path: str, headers: dict) -> None:
+                body = self.rfile.read(int(headers["Content-Length"]))
                 with outer._lock:
-                    n = len(outer.bodies)
-                    outer.bodies.append(body)
-                    outer.headers.append(dict(self.headers))
-                    outer.paths.append(self.path)
+                    n = outer.requests
+                    outer.requests += 1
+                    if keep:
+                        outer.bodies.append(body)
+                        outer.headers.append(headers)
+                        outer.paths.append(path)
                     outer._now += 1
                     outer.peak = max(outer.peak, outer._now)
                 try:
                     if delay:
                         time.sleep(delay)
                     made = script(n, body) if script else None
-                    status, headers, reply = made or (200, {}, json.dumps(respond(json.loads(body)), ensure_ascii=False).encode())
-                    self.send_response(status)
-                    for k, v in headers.items():
-                        self.send_header(k, v)
-                    if "Transfer-Encoding" in headers:
+                    status, more, reply = made or (200, {}, json.dumps(respond(json.loads(body)), ensure_ascii=False).encode())
+                    if "Transfer-Encoding" in more:
                         reply = b"".join(b"%x\r\n%b\r\n" % (len(reply[i : i + 4096]), reply[i : i + 4096]) for i in range(0, len(reply), 4096)) + b"0\r\n\r\n"
                     else:
-                        self.send_header("Content-Length", str(len(reply)))
-                    self.end_headers()
-                    self.wfile.write(reply)
-                except OSError:
-                    pass
+                        more = more | {"Content-Length": len(reply)}
+                    head = "".join(f"{k}: {v}\r\n" for k, v in more.items())
+                    self.wfile.write(f"HTTP/1.1 {status} {responses.get(status, '')}\r\n{head}\r\n".encode("latin-1") + reply)
                 finally:
                     with outer._lock:
                         outer._now -= 1
 
-            def log_message(self, *args: object) -> None:
-                pass
-
-        class Server(ThreadingHTTPServer):
+        class Server(socketserver.ThreadingTCPServer):
             daemon_threads = True
+            allow_reuse_address = True
             request_queue_size = 256
 
         self.server = Server(("127.0.0.1", 0), Handler)
         self.url = f"http://127.0.0.1:{self.server.server_address[1]}"
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
 
-    @property
-    def requests(self) -> int:
-        return len(self.bodies)
-
     def reset(self) -> None:
         with self._lock:
             self.bodies.clear(), self.headers.clear(), self.paths.clear()
-            self.peak = self._now
+            self.peak, self.requests = self._now, 0
 
     def drop_connections(self) -> None:
         """Close all open connections, as a server does with idle ones."""

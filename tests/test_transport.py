@@ -141,3 +141,22 @@ def test_connections_are_kept_and_replaced():
         counts = Counter()
         provider.send(BODY, "noul", counts)
         assert server.connections == 2 and counts["requests"] == 1 and server.requests == 6
+
+
+def test_a_server_that_only_counts_keeps_no_request():
+    with Loopback(keep=False) as server:
+        counts = Counter()
+        for _ in range(3):
+            direct(server).send(BODY, "noul", counts)
+        assert (server.requests, counts["requests"], counts["input_tokens"], server.peak) == (3, 3, 30, 1)
+        assert server.bodies == server.headers == server.paths == []
+        server.reset()
+        assert server.requests == 0
+
+
+def test_the_queries_server_keeps_no_request():
+    from assay import queries
+
+    before = queries.server().requests
+    direct(queries.server()).send(BODY, "noul", Counter())
+    assert queries.server().requests == before + 1 and queries.server().bodies == []
